@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, order_minhash, packing, quality, token_files
+from . import licenses, mixing, order_minhash, packing, quality, repeats, token_counts, token_files, toxicity
 from .common import table
 from .word_ids import default_path
 
 END_ID = 2
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), default_path())
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -34,11 +42,16 @@ def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), default_path(), END_ID)
 
 
+def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), default_path(), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mix_sources, op5_license_scan, op6_order_minhash, op7_nnls_packing, op9_packed_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality_rules, op4_mix_sources, op5_license_scan, op6_order_minhash, op7_nnls_packing, op8_toxicity_trees, op9_packed_token_files)}
 
 ORACLE_SQL = {
     "op4_mix_sources": r"""
