@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, order_minhash, packing, quality, repeats, token_counts, token_files, toxicity
+from . import jaccard, licenses, mixing, order_minhash, packing, quality, repeats, token_counts, token_files, toxicity
 from .common import table
 from .word_ids import default_path
 
@@ -51,7 +51,11 @@ def op9_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), default_path(), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality_rules, op4_mix_sources, op5_license_scan, op6_order_minhash, op7_nnls_packing, op8_toxicity_trees, op9_packed_token_files)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_quality_rules, op4_mix_sources, op5_license_scan, op6_order_minhash, op7_nnls_packing, op8_toxicity_trees, op9_packed_token_files, op10_ngram_jaccard)}
 
 ORACLE_SQL = {
     "op4_mix_sources": r"""
