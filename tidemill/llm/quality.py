@@ -70,16 +70,16 @@ def chunk_statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
     return out
 
 
-def statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
+def statistics(docs: DataFrame, keys: list[str], with_text: bool = False) -> DataFrame:
     """The key columns and STATISTICS of each row's whole text. `keys` are (name, type) as 'name type'."""
-    schema = ", ".join([*keys, *(f"{s} long" for s in STATISTICS)])
-    names = [k.split()[0] for k in keys]
+    names = [k.split()[0] for k in keys] + ["text"] * with_text
+    schema = ", ".join([*keys, *["text string"] * with_text, *(f"{s} long" for s in STATISTICS)])
 
     def work(part: pa.RecordBatch) -> dict:
         found = chunk_statistics(part["text"].to_pylist())
         return {n: part[n] for n in names} | {k: pa.array(v) for k, v in found.items()}
 
-    return mapped(docs.select(*names, text_or_empty().alias("text")), work, schema)
+    return mapped(docs.select(*[n for n in names if n != "text"], text_or_empty().alias("text")), work, schema)
 
 
 def base_failed() -> Column:
@@ -176,16 +176,21 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, d: int
     return stored(best.join(half, key).join(middle.select(*key, "rows"), key), "mcd")
 
 
-def verdicts(found: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """Adds base_failed, distance and kept to stored rows of statistics with lang and source.
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds base_failed, the group keys (never null) and the vector."""
+    name = lambda c: F.concat(F.lit("="), F.coalesce(c, F.lit("\0")))
+    return rows.withColumn("base_failed", base_failed()).withColumn("g1", name("lang")).withColumn("g2", name("source")).withColumn("x", F.transform(F.array(*transformed()), lambda v: F.round(v, 8)))
 
-    Estimates come from rows that the base rules pass, all of them; a table without such rows keeps none.
-    """
-    vector = F.transform(F.array(*transformed()), lambda v: F.round(v, 8))
-    rows = found.withColumn("base_failed", base_failed()).withColumn("g1", F.concat(F.lit("="), F.coalesce("lang", F.lit("\0")))).withColumn("g2", F.concat(F.lit("="), F.coalesce("source", F.lit("\0")))).withColumn("x", vector)
-    sound = rows.where(~F.col("base_failed"))
-    models = estimates(sound.select("g1", "g2", "x"))
-    side = models.select("level", "g1", "g2", "rows", F.struct("mean", "precision", "scale").alias("e"))
+
+def models(found: DataFrame) -> DataFrame:
+    """Estimates from all stored rows of statistics (with lang and source) that pass the base rules."""
+    return estimates(_placed(found).where(~F.col("base_failed")).select("g1", "g2", "x"))
+
+
+def verdicts(rows: DataFrame, fitted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """Adds base_failed, distance and kept to rows of statistics with lang and source."""
+    rows = _placed(rows)
+    side = fitted.select("level", "g1", "g2", "rows", F.struct("mean", "precision", "scale").alias("e"))
     own = checked_broadcast(side.where("level = 2").select("g1", "g2", F.col("e").alias("e2")))
     language = checked_broadcast(side.where(f"level = 1 and rows >= {LEAST_ROWS}").select("g1", F.col("e").alias("e1")))
     overall = F.broadcast(side.where("level = 0").select(F.col("e").alias("e0")))  # one row at most
@@ -196,8 +201,24 @@ def verdicts(found: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return rows.withColumn("kept", kept).drop("g1", "g2", "e", "e0", "e1", "e2", "mean", "precision", "x")
 
 
+KEYS = ("doc_id long", "lang string", "source string")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.col(k.split()[0]).cast(k.split()[1]).alias(k.split()[0]) for k in KEYS], "text")
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """Statistics and verdict of every document (null text: no words, so it fails the base rules). Repeated rows get a
     row each; an empty table gives none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    return verdicts(stored(statistics(rows, ["doc_id long", "lang string", "source string"]), "statistics"))
+    found = stored(statistics(_keyed(docs), list(KEYS)), "statistics")
+    return verdicts(found, models(found))
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, lang, source, n_chars) that the rules keep. The statistics are computed again for the
+    verdict, which is cheaper than moving the texts to join them."""
+    fitted = models(stored(statistics(_keyed(docs), list(KEYS)), "statistics"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), "text")
+    rows = statistics(docs, [*KEYS, "n_chars long"], with_text=True)
+    return verdicts(rows, fitted).where("kept").select("doc_id", "text", "lang", "source", "n_chars")
