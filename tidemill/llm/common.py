@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a side may be broadcast (checked by a count before each use); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a Python step takes at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Exact join of texts by the Jaccard similarity of their word n-grams, with a token-group matrix.
 
-Texts with equal shingle sets form one class. A class has a prefix: its shingles in a global order (those found very
-often last, else by hash), up to n - ceil(t n) + 1 of them; classes that are similar enough share one of these. Classes
-are first put into groups of similar ones: in each prefix shingle's list two leaders are chosen, members compared with
-them, and what is linked becomes a group. The matrix has a row for each shingle and group that has it in a member's
-prefix, so it is the union of the members' tokens. For each class and other group the matrix bounds the overlap with any
-member; only groups that can hold a partner are opened, and of their members only those that their own shared prefix
-allows are compared. Links found this way are all there are, whatever groups were formed; a pair already connected need
-not be compared, and so a group of copies costs a comparison a member.
+Texts with equal shingle sets form one class. A class has its shingles in a global order (those found very often last,
+else by hash); its prefix is the first n - ceil(t n) + 1 of them. The first shingle that two classes share, at places i
+and j from 0, leaves min(n - i, m - j) at most to share, so it must stand in both prefixes, and in the smaller class
+among those with m - j >= 2 t m / (1 + t): its early ones.
+
+Classes are first put into groups of similar ones: in each prefix shingle's list two leaders are chosen, one of them the
+member that has the shingle earliest (it differs least from what is common), members are compared with them, and what
+is linked becomes a group. The matrix has a row for each group and early shingle of a member, so it holds the union of
+the members' tokens with the bounds of their sizes and places. A class asks the matrix with its prefix; a group of
+others is opened only where those bounds allow an overlap that is large enough, and of its members only those that
+their own place and size allow are compared. Links found this way are all there are, whatever groups were formed; a
+pair already connected need not be compared, and so a group of copies costs a comparison a member.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CHUNK_BYTES, checked_broadcast, chunks, stored, text_or_empty, to_arrow
+from .common import checked_broadcast, chunks, stored, text_or_empty, to_arrow
 from .components import components
 
 #: Words of a shingle and least similarity in hundredths.
@@ -31,6 +35,8 @@ SIZE, PERCENT = 5, 80
 OFTEN, MOST_OFTEN = 50, 1_000_000
 #: Shingles that are counted together before what stands once is left out.
 COUNTED = 4_000_000
+#: Bytes of text that are cut into shingles at once.
+SHINGLE_BYTES = 2 << 20
 #: Members that are compared with a leader in one task.
 MEMBERS = 512
 
@@ -87,7 +93,7 @@ def _classes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         token, times = token[times > 1], times[times > 1]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), dtype=np.int32)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(times.astype(np.int64))], schema=target)
 
-    for part in chunks(batches):
+    for part in chunks(batches, limit=SHINGLE_BYTES):
         found = shingles(part["text"].to_pylist(), size)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), dtype=np.int32)), part["doc_id"], pa.array([class_key(x) for x in found], type=pa.int64()), pa.array([len(x) for x in found], type=pa.int64())], schema=target)
         held += found
@@ -100,10 +106,10 @@ def _classes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    target = to_arrow("token long, key long, n int")
+    target = to_arrow("token long, key long, n int, i int")
     seen: set[int] = set()  # equal sets give equal rows: one of them in a task is enough
-    for part in chunks(batches):
-        tokens, keys, sizes = [], [], []
+    for part in chunks(batches, limit=SHINGLE_BYTES):
+        tokens, keys, sizes, places = [], [], [], []
         for found in shingles(part["text"].to_pylist(), size):
             key = class_key(found)
             if key is None or key in seen:
@@ -117,14 +123,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, often:
             tokens.append(found[:p])
             keys.append(np.full(p, key, dtype=np.int64))
             sizes.append(np.full(p, n, dtype=np.int32))
+            places.append(np.arange(p, dtype=np.int32))
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], schema=target)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], schema=target)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A text's set for each comparison that it takes part in."""
     target = to_arrow("lead long, salt int, role int, key long, found binary")
-    for part in chunks(batches):
+    for part in chunks(batches, limit=SHINGLE_BYTES):
         out: list[list] = [[], [], [], [], []]
         for found, key, goals in zip(shingles(part["text"].to_pylist(), size), part["key"].to_pylist(), part["goals"].to_pylist(), strict=True):
             if class_key(found) == key:  # rows that only repeat a doc_id are passed over
@@ -167,10 +174,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, p
     return sets.mapInArrow(lambda b: _compare(b, percent), "a long, b long")
 
 
-def _least_shared(n: Column, m: Column, percent: int) -> Column:
-    """Prefix shingles that sets of n and m must share: the overlap needed less all that may lie behind the prefixes."""
-    behind = F.greatest(F.ceil(n * percent / 100), F.ceil(m * percent / 100)) - 1
-    return F.ceil((n + m) * percent / (100 + percent)) - behind
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """The overlap that makes sets of n and m similar enough."""
+    return F.ceil((n + m) * percent / (100 + percent))
 
 
 def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -186,37 +192,35 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
 
     common = first.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(f"n >= {OFTEN}").orderBy(F.desc("n"), "key").limit(MOST_OFTEN)
     often = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in common.select("key").toLocalIterator()], dtype=np.int64).view(np.uint64)))
-    rows = docs.select("text").mapInArrow(lambda b: _prefixes(b, size, percent, often.value), "token long, key long, n int")
+    rows = docs.select("text").mapInArrow(lambda b: _prefixes(b, size, percent, often.value), "token long, key long, n int, i int")
     rows = rows.repartition("token").dropDuplicates(["token", "key"])
     rows = stored(rows.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1").drop("held"), "shared-prefixes")
 
     # Groups: members of a shingle's list against its leaders.
     leaders = []
-    for turn in (0, 1):
-        order = F.xxhash64(F.lit(turn), F.col("key")) if turn else F.col("key")
-        lead = F.min_by(F.struct("key", "n"), order).over(Window.partitionBy("token"))
-        leaders.append(rows.withColumn("lead", lead).where("lead.key != key").select(F.col("lead.key").alias("a"), F.col("lead.n").alias("m"), F.col("key").alias("b"), "n"))
-    pairs = leaders[0].union(leaders[1]).where(f"100 * least(n, m) >= {percent} * greatest(n, m)").groupBy("a", "b", "n", "m").count()
+    for order in (F.struct("i", "key"), F.struct(F.xxhash64("key"), "key")):
+        lead = F.min_by(F.struct("key", "n", "i"), order).over(Window.partitionBy("token"))
+        led = rows.withColumn("lead", lead).where("lead.key != key")
+        leaders.append(led.select(F.col("lead.key").alias("a"), F.col("lead.n").alias("m"), F.col("lead.i").alias("j"), F.col("key").alias("b"), "n", "i"))
+    pairs = leaders[0].union(leaders[1]).where(_needed(F.col("n"), F.col("m"), percent) <= F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")))
+    pairs = pairs.groupBy("a", "b").count()
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     pairs = pairs.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select("a", "b")
     links = stored(_verified(stored(pairs, "leader-pairs"), docs, firsts, size, percent), "leader-links")
     groups = components(links)
 
-    # The matrix: groups by shingle; classes against the other groups that share one of their prefix shingles.
-    grouped = rows.join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "n", F.coalesce("label", "key").alias("group"))
-    matrix = grouped.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = matrix.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k")
-    matrix = stored(matrix, "matrix").withColumnRenamed("group", "other")
-    grouped = stored(grouped.join(matrix.select("token").distinct(), "token"), "queries")
-    near = grouped.join(matrix, "token").where(f"group != other AND 100 * high >= {percent} * n AND 100 * n >= {percent} * low")
-    bound = near.groupBy("key", "n", "other").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
-    low = F.greatest("low", F.ceil(F.col("n") * percent / 100))
-    high = F.least("high", F.floor(F.col("n") * 100 / percent))
-    opened = bound.where(F.col("shared") >= F.greatest(F.lit(1), F.least(_least_shared(F.col("n"), low, percent), _least_shared(F.col("n"), high, percent)))).select(F.col("key").alias("a"), F.col("n").alias("m"), "other")
-    asked = grouped.select("token", F.col("key").alias("a")).join(stored(opened, "opened"), "a")
-    found = asked.join(grouped.select("token", "key", "n", F.col("group").alias("other")), ["token", "other"]).where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    found = found.groupBy("a", F.col("key").alias("b"), "m", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), _least_shared(F.col("n"), F.col("m"), percent)))
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # The matrix: groups by early shingle of a member; classes ask for the other groups that share one of their prefix's.
+    grouped = rows.join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "n", "i", F.coalesce("label", "key").alias("group"))
+    grouped = stored(grouped, "grouped")
+    early = grouped.where(_needed(F.col("n"), F.col("n"), percent) <= F.col("n") - F.col("i"))
+    matrix = early.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("i")).alias("rest"))
+    least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    may = (F.col("group") != F.col("other")) & (least <= F.least("n", "high")) & (_needed(F.col("n"), least, percent) <= F.least(F.col("n") - F.col("i"), F.col("rest")))
+    asked = grouped.withColumnRenamed("token", "of").join(matrix, (F.col("of") == F.col("token")) & may).select("token", "other", F.col("key").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"))
+    members = early.select(F.col("token").alias("of"), F.col("group").alias("within"), "key", "n", "i")
+    can = (F.col("n") <= F.col("m")) & (_needed(F.col("n"), F.col("m"), percent) <= F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")))
+    found = asked.join(members, (F.col("token") == F.col("of")) & (F.col("other") == F.col("within")) & can)
+    found = found.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
     more = _verified(stored(found, "group-pairs"), docs, firsts, size, percent)
 
     labels = components(links.union(stored(more, "group-links")))
