@@ -204,7 +204,7 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
         led = rows.withColumn("lead", lead).where("lead.key != key")
         leaders.append(led.select(F.col("lead.key").alias("a"), F.col("lead.n").alias("m"), F.col("lead.i").alias("j"), F.col("key").alias("b"), "n", "i"))
     pairs = leaders[0].union(leaders[1]).where(_needed(F.col("n"), F.col("m"), percent) <= F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")))
-    pairs = pairs.groupBy("a", "b", "n").count().where("100 * count >= 4 * n")  # a fifth of the prefix; what is missed here the matrix finds
+    pairs = pairs.groupBy("a", "b", "n").count().where("100 * count >= n")  # a twentieth of the prefix; what is missed here the matrix finds
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     pairs = pairs.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select("a", "b")
     links = stored(_verified(stored(pairs, "leader-pairs"), docs, firsts, size, percent), "leader-links")
