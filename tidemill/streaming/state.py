@@ -70,14 +70,14 @@ class AsOf(_Kept):
 
     def _release(self, key, state: dict, until: int) -> Iterator[pd.DataFrame]:
         out, waiting = [], []
-        for t, fact in sorted(state["facts"]):
+        for t, fact in sorted(state["facts"], key=lambda f: f[0]):
             if t > until:
-                waiting.append((t, fact))
+                waiting.append([t, fact])
                 continue
             known = [v for v in state["versions"] if v[0] <= t]
-            out.append((key[0], fact, max(known)[1] if known else None, t))
+            out.append((key[0], fact, max(known, key=lambda v: v[0])[1] if known else None, t))
         old = [v for v in state["versions"] if v[0] <= until]
-        state["versions"] = ([max(old)] if old else []) + [v for v in state["versions"] if v[0] > until]
+        state["versions"] = ([max(old, key=lambda v: v[0])] if old else []) + [v for v in state["versions"] if v[0] > until]
         state["facts"] = waiting
         self.save(state)
         yield pd.DataFrame(out, columns=["key", "fact", "version", "t"])
@@ -86,7 +86,7 @@ class AsOf(_Kept):
         state = self.load() or {"versions": [], "facts": []}
         for frame in rows:
             for side, t, payload in zip(frame["side"], frame["t"], frame["payload"], strict=True):
-                state["facts" if side else "versions"].append((int(t), payload))
+                state["facts" if side else "versions"].append([int(t), payload])
                 if side:
                     self.handle.registerTimer(int(t))
         yield from self._release(key, state, timerValues.getCurrentWatermarkInMs())
