@@ -150,17 +150,20 @@ def per_key(df: DataFrame, key: str, order: list[str], work: Callable[[list[Row]
 
 def skip_past(df: DataFrame, key: str, order: list[str], starts: str, length: int) -> DataFrame:
     """Of a key's rows numbered in order, those starting matches of `length` rows that don't overlap, first come first
-    served. Only candidate starts travel to Python."""
+    served. Only candidate starts travel to Python, where one number per key is held, however many rows it has."""
     numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     candidates = numbered.where(F.col(starts))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_n")
-        free, keep = 0, []
-        for n in frame["_n"]:
-            keep.append(n >= free)
-            if n >= free:
-                free = n + length
-        return frame[keep]
-
-    return candidates.groupBy(key).applyInPandas(run, candidates.schema).drop("_n")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, free = None, 0
+        for frame in frames:
+            keep = []
+            for k, n in zip(frame[key].tolist(), frame["_n"].tolist(), strict=True):
+                if k != now:
+                    now, free = k, 0
+                keep.append(n >= free)
+                if n >= free:
+                    free = n + length
+            yield frame[keep]
+
+    return candidates.repartition(key).sortWithinPartitions(key, "_n").mapInPandas(run, candidates.schema).drop("_n")
