@@ -425,3 +425,65 @@ def state_velocity(spark, d):
         return found
 
     return P.per_key(_ordered(spark, d), "account_id", ["t", "id"], work, "account_id long, last_id long, n long, severity string, total double")
+
+
+# Changelogs, late rows and the whole enrichment
+
+CHANGES = "SELECT account_id, txn_id, CASE WHEN n = 1 THEN '+I' ELSE '+U' END AS op, n, CAST(CAST(total AS DECIMAL(14,2)) AS DOUBLE) AS total FROM (SELECT *, row_number() OVER w AS n, sum(amount) OVER w AS total FROM txn WINDOW w AS (PARTITION BY account_id ORDER BY event_time, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+
+
+@query(CHANGES)
+def to_changelog(spark, d):
+    """Running totals with the kind of each change."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("account_id").orderBy("event_time", "txn_id")
+    n = F.row_number().over(w)
+    return transactions(spark, d).select("account_id", "txn_id", F.when(n == 1, "+I").otherwise("+U").alias("op"), n.cast("long").alias("n"), dbl(F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(14,2)")).alias("total"))
+
+
+@query(f"SELECT * FROM ({CHANGES}) WHERE op = '+U'")
+def filter_rowkind(spark, d):
+    return to_changelog(spark, d).where("op = '+U'")
+
+
+LATE = """SELECT txn_id, 'LATE_EVENT' AS reason, 'TumblingWindow(1d)' AS stage FROM (
+  SELECT *, max(tm) OVER (PARTITION BY shard_id ORDER BY txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT txn_id, shard_id, CASE WHEN txn_id % 10 = 0 THEN event_time - INTERVAL '2 days' ELSE event_time END AS tm FROM txn)
+) WHERE time_bucket(INTERVAL '1 day', tm, TIMESTAMP '1970-01-01') + INTERVAL '1 day' + INTERVAL '10 seconds' <= seen - INTERVAL '5 seconds'"""
+
+
+@query(LATE, name="map_late_to_dlq")
+@query(LATE)
+def late_side_output(spark, d):
+    """Rows whose window, with ten seconds' lateness, had closed at their shard's watermark (five seconds behind)."""
+    from pyspark.sql.window import Window
+
+    shifted = F.when(F.col("txn_id") % 10 == 0, F.col("event_time") - F.expr("INTERVAL 2 DAYS")).otherwise(F.col("event_time"))
+    before = Window.partitionBy("shard_id").orderBy("txn_id").rowsBetween(Window.unboundedPreceding, -1)
+    t = transactions(spark, d).select("txn_id", "shard_id", shifted.alias("at")).withColumn("seen", F.max("at").over(before))
+    late = F.window("at", "1 day")["end"] + F.expr("INTERVAL 10 SECONDS") <= F.col("seen") - F.expr("INTERVAL 5 SECONDS")
+    return t.where(late).select("txn_id", F.lit("LATE_EVENT").alias("reason"), F.lit("TumblingWindow(1d)").alias("stage"))
+
+
+@query(f"SELECT i.txn_id, i.auth_id, coalesce(v.band, 'UNKNOWN') AS band, coalesce(c.region, 'UNKNOWN') AS region FROM ({INTERVAL}) i JOIN txn t ON i.txn_id = t.txn_id ASOF LEFT JOIN version v ON t.account_id = v.account_id AND t.event_time >= v.since LEFT JOIN account c ON t.account_id = c.account_id")
+def enriched_transactions(spark, d):
+    """Interval join with the answer, then the version as of the event and the account's region."""
+    t = transactions(spark, d)
+    auths = t.where("channel = 'view'").select("account_id", F.col("txn_id").alias("auth_id"), F.col("event_time").alias("auth_time"))
+    found = J.interval(t.where("channel = 'purchase'").select("txn_id", "account_id", "event_time"), auths, "account_id", "event_time", "auth_time", "-2 HOUR", "45 HOUR")
+    found = J.asof_left(found, account_versions(spark, d), "account_id", "event_time", "since", ["band"])
+    return J.lookup(found, accounts(spark, d), "account_id").select("txn_id", "auth_id", F.coalesce("band", F.lit("UNKNOWN")).alias("band"), F.coalesce("region", F.lit("UNKNOWN")).alias("region"))
+
+
+@query("SELECT txn_id, strftime(event_time, '%Y-%m-%d') AS dt, CAST(amount AS DOUBLE) AS amount FROM txn")
+def snk_fanout(spark, d):
+    """One batch written to two sinks; what the date-partitioned one holds."""
+    from tempfile import mkdtemp
+
+    from tidemill.sources import sinks
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp()}"
+    path = f"{root}/fanout-{abs(hash(d))}"
+    rows = transactions(spark, d).select("txn_id", F.date_format("event_time", "yyyy-MM-dd").alias("dt"), dbl(F.col("amount")).alias("amount"))
+    sinks.fan_out(sinks.append(f"{path}/lake", ("dt",)), sinks.upsert(f"{path}/keyed", ["txn_id"], "txn_id"))(rows, 0)
+    return spark.read.option("basePath", f"{path}/lake/batch=0").schema("txn_id long, amount double, dt string").parquet(f"{path}/lake/batch=0").select("txn_id", "dt", "amount")
