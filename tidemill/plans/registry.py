@@ -151,19 +151,19 @@ def expr_murmur2_shard(spark, d):
 # Joins
 
 
-@query("SELECT t.txn_id, v.band, epoch_us(v.since) AS since FROM txn t ASOF LEFT JOIN version v ON t.account_id = v.account_id AND t.event_time >= v.since")
+@query("SELECT t.txn_id, v.band, coalesce(epoch_us(v.since), -1) AS since FROM txn t ASOF LEFT JOIN version v ON t.account_id = v.account_id AND t.event_time >= v.since")
 def join_temporal_asof_left(spark, d):
     found = J.asof_left(transactions(spark, d).select("txn_id", "account_id", "event_time"), account_versions(spark, d), "account_id", "event_time", "since", ["band"])
-    return found.select("txn_id", "band", us("version_time").alias("since"))
+    return found.select("txn_id", "band", F.coalesce(us("version_time"), F.lit(-1)).alias("since"))
 
 
-@query("SELECT t.txn_id, CAST(t.amount AS DOUBLE) AS amount, CAST(CAST(t.amount * coalesce(r.rate, CAST(1.0 AS DECIMAL(12,6))) AS DECIMAL(18,6)) AS DOUBLE) AS amount_usd, epoch_us(r.at) AS rate_as_of FROM txn t ASOF LEFT JOIN (SELECT merchant_id % 7 AS currency, max(CAST(amount AS DECIMAL(12,6))) AS rate, event_time AS at FROM txn WHERE channel = 'error' GROUP BY 1, 3) r ON t.merchant_id % 7 = r.currency AND t.event_time >= r.at")
+@query("SELECT t.txn_id, CAST(t.amount AS DOUBLE) AS amount, CAST(CAST(t.amount * coalesce(r.rate, CAST(1.0 AS DECIMAL(12,6))) AS DECIMAL(18,6)) AS DOUBLE) AS amount_usd, coalesce(epoch_us(r.at), -1) AS rate_as_of FROM txn t ASOF LEFT JOIN (SELECT merchant_id % 7 AS currency, max(CAST(amount AS DECIMAL(12,6))) AS rate, event_time AS at FROM txn WHERE channel = 'error' GROUP BY 1, 3) r ON t.merchant_id % 7 = r.currency AND t.event_time >= r.at")
 def fx_normalized(spark, d):
     t = transactions(spark, d).withColumn("currency", F.col("merchant_id") % 7)
     rates = t.where("channel = 'error'").groupBy("currency", F.col("event_time").alias("at")).agg(F.max(F.col("amount").cast("decimal(12,6)")).alias("rate"))
     found = J.asof_left(t.select("txn_id", "currency", "amount", "event_time"), rates, "currency", "event_time", "at", ["rate"])
     rate = F.coalesce("rate", F.lit(1).cast("decimal(12,6)"))
-    return found.select("txn_id", dbl(F.col("amount")).alias("amount"), dbl((F.col("amount") * rate).cast("decimal(18,6)")).alias("amount_usd"), us("version_time").alias("rate_as_of"))
+    return found.select("txn_id", dbl(F.col("amount")).alias("amount"), dbl((F.col("amount") * rate).cast("decimal(18,6)")).alias("amount_usd"), F.coalesce(us("version_time"), F.lit(-1)).alias("rate_as_of"))
 
 
 INTERVAL = "SELECT t.txn_id, a.txn_id AS auth_id, CAST(epoch_us(a.event_time) - epoch_us(t.event_time) AS BIGINT) AS lag_us FROM (SELECT * FROM txn WHERE channel = 'purchase') t JOIN (SELECT * FROM txn WHERE channel = 'view') a ON t.account_id = a.account_id AND a.event_time BETWEEN t.event_time - INTERVAL '2' HOUR AND t.event_time + INTERVAL '45' HOUR"
