@@ -16,20 +16,45 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
 
 
-def asof_left(facts: DataFrame, versions: DataFrame, key: str, time: str, since: str, take: list[str]) -> DataFrame:
+def asof_left(facts: DataFrame, versions: DataFrame, key: str, time: str, since: str, take: list[str], slice_seconds: int | None = None) -> DataFrame:
     """Each fact with the newest version of its key that is not later than the fact, or nulls.
 
     Facts and versions are laid in one order per key (a version before a fact of the same time) and the last version is
     carried forward: one shuffle and one sort, no join of all pairs. A version of null `take` values is a deletion's
-    record and hides older ones. Facts without key or time get nulls.
+    record and hides older ones. Facts without key or time get nulls and are not shuffled.
+
+    With `slice_seconds` a key's rows are dealt by slices of time as well, so that no task holds a hot key whole: the
+    last version before each slice that has facts goes ahead of it, found from one row per key and slice.
     """
     version = F.struct(F.col(since).alias(since), *[F.col(c) for c in take])
-    left = facts.select(F.struct(*facts.columns).alias("_fact"), F.col(key).alias("_key"), F.col(time).alias("_at"), F.lit(None).cast(versions.select(version.alias("v")).schema["v"].dataType).alias("_version"), F.lit(1).alias("_side"))
-    right = versions.where(F.col(key).isNotNull() & F.col(since).isNotNull()).select(F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"), F.col(key).alias("_key"), F.col(since).alias("_at"), version.alias("_version"), F.lit(0).alias("_side"))
-    order = Window.partitionBy("_key").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = left.unionByName(right).withColumn("_found", F.last("_version", ignorenulls=True).over(order)).where("_side = 1")
-    found = found.withColumn("_found", F.when(F.col("_key").isNotNull() & F.col("_at").isNotNull(), F.col("_found")))
-    return found.select("_fact.*", F.col(f"_found.{since}").alias("version_time"), *[F.col(f"_found.{c}").alias(c) for c in take])
+    given = F.col(key).isNotNull() & F.col(time).isNotNull()
+    known = versions.where(F.col(key).isNotNull() & F.col(since).isNotNull()).select(F.col(key).alias("_key"), F.col(since).alias("_at"), version.alias("_version"))
+    shape = known.schema["_version"].dataType
+    wanted = facts.where(given).select(F.struct(*facts.columns).alias("_fact"), F.col(key).alias("_key"), F.col(time).alias("_at"))
+    rows = wanted.withColumns({"_version": F.lit(None).cast(shape), "_side": F.lit(1)})
+    sides = known.select(F.lit(None).cast(rows.schema["_fact"].dataType).alias("_fact"), "*", F.lit(0).alias("_side"))
+    parts = ["_key"]
+    if slice_seconds:
+        parts.append("_slice")
+        nth = F.floor(F.col("_at").cast("double") / slice_seconds)
+        rows, sides = rows.withColumn("_slice", nth), sides.withColumn("_slice", nth)
+        ends = known.groupBy("_key", nth.alias("_slice")).agg(F.max_by("_version", "_at").alias("_version"))
+        asked = wanted.select("_key", nth.alias("_slice")).distinct()
+        before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        heads = ends.unionByName(asked, allowMissingColumns=True).groupBy("_key", "_slice").agg(F.first("_version", ignorenulls=True).alias("_version"))
+        heads = heads.withColumn("_version", F.last("_version", ignorenulls=True).over(before)).where("_version IS NOT NULL")
+        sides = sides.unionByName(heads.select(F.lit(None).cast(rows.schema["_fact"].dataType).alias("_fact"), "_key", F.col(f"_version.{since}").alias("_at"), "_version", F.lit(0).alias("_side"), "_slice"))
+    order = Window.partitionBy(*parts).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.unionByName(sides).withColumn("_found", F.last("_version", ignorenulls=True).over(order)).where("_side = 1").select("_fact", "_found")
+    rest = facts.where(~given).select(F.struct(*facts.columns).alias("_fact"), F.lit(None).cast(shape).alias("_found"))
+    return found.unionByName(rest).select("_fact.*", F.col(f"_found.{since}").alias("version_time"), *[F.col(f"_found.{c}").alias(c) for c in take])
+
+
+def compacted(versions: DataFrame, key: str, since: str, horizon: Column) -> DataFrame:
+    """Versions that a fact at `horizon` or later may still ask for: each key's newest one up to it, and all later."""
+    old = F.col(since) <= horizon
+    newest = Window.partitionBy(key, old).orderBy(F.desc(since))
+    return versions.withColumn("_n", F.rank().over(newest)).where(~old | (F.col("_n") == 1)).drop("_n")
 
 
 def interval(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, low: str, high: str) -> DataFrame:

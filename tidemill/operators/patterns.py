@@ -137,15 +137,22 @@ class Velocity:
         return alert
 
 
-def per_key(df: DataFrame, key: str, order: list[str], work: Callable[[list[Row]], list[Row]], schema: str) -> DataFrame:
-    """Applies `work` to each key's rows in order."""
+def per_key(df: DataFrame, key: str, order: list[str], start: Callable[[], Callable[[Row], list[Row]]], schema: str) -> DataFrame:
+    """Gives each key's rows, in order and one by one, to a rule that `start` makes for the key. Only what the rule keeps
+    is held, however many rows the key has: they come sorted from a shuffle that spills."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(order, kind="stable").to_dict("records")
-        return pd.DataFrame(work(rows), columns=names)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rule, now = None, None
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                if rule is None or row[key] != now:
+                    rule, now = start(), row[key]
+                out += rule(row)
+            yield pd.DataFrame(out, columns=names)
 
     names = [part.strip().split()[0] for part in schema.split(",")]
-    return df.groupBy(key).applyInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def skip_past(df: DataFrame, key: str, order: list[str], starts: str, length: int) -> DataFrame:

@@ -407,24 +407,26 @@ def _ordered(spark, d) -> DataFrame:
 
 @query()
 def cep_card_testing(spark, d):
-    def work(rows):
+    def start():
         rule = P.EscalatingSpend(lambda r: r["amount"] <= 5.0, lambda r: r["channel"] == "purchase", floor=5.0, within=3 * 86_400.0)
-        return [{"account_id": r["account_id"], "first_id": m[0]["id"], "last_id": m[-1]["id"], "hops": len(m) - 1, "total": round(sum(x["amount"] for x in m), 2)} for r in rows for m in rule.add(r)]
+        return lambda r: [{"account_id": r["account_id"], "first_id": m[0]["id"], "last_id": m[-1]["id"], "hops": len(m) - 1, "total": round(sum(x["amount"] for x in m), 2)} for m in rule.add(r)]
 
-    return P.per_key(_ordered(spark, d), "account_id", ["t", "id"], work, "account_id long, first_id long, last_id long, hops long, total double")
+    return P.per_key(_ordered(spark, d), "account_id", ["t", "id"], start, "account_id long, first_id long, last_id long, hops long, total double")
 
 
 @query()
 def state_velocity(spark, d):
-    def work(rows):
-        rule, found = P.Velocity(5, 300.0, 5 * 86_400.0), []
-        for r in rows:
+    def start():
+        rule = P.Velocity(5, 300.0, 5 * 86_400.0)
+
+        def step(r):
             rule.advance(r["t"])
-            if alert := rule.add(r):
-                found.append({"account_id": r["account_id"], "last_id": r["id"], "n": len(alert["txn_ids"]), "severity": alert["severity"], "total": round(alert["total"], 2)})
-        return found
+            alert = rule.add(r)
+            return [{"account_id": r["account_id"], "last_id": r["id"], "n": len(alert["txn_ids"]), "severity": alert["severity"], "total": round(alert["total"], 2)}] if alert else []
+
+        return step
 
-    return P.per_key(_ordered(spark, d), "account_id", ["t", "id"], work, "account_id long, last_id long, n long, severity string, total double")
+    return P.per_key(_ordered(spark, d), "account_id", ["t", "id"], start, "account_id long, last_id long, n long, severity string, total double")
 
 
 # Changelogs, late rows and the whole enrichment

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,3 +116,20 @@ def secret(name: str, environment: Mapping[str, str] | None = None) -> str:
     if name in environment:
         return environment[name]
     raise ValueError(f"neither {name}_FILE nor {name} is set")
+
+
+def clustered(df: DataFrame, path: str, by: str, order: list[str], codec: str = "zstd") -> None:
+    """A folder per value of `by`, its rows sorted, so that readers skip folders and row groups. A value's rows are
+    spread over tasks by their sort keys: a hot day isn't one task's work."""
+    df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.mode("overwrite").option("compression", codec).partitionBy(by).parquet(path)
+
+
+def bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> None:
+    """A table hashed by its keys: joins and aggregates on them need no shuffle."""
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -11,8 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as transactions; times as TIMESTAMP, which watermarks need."""
-    return table(spark, sf_dir, "events").select(
+    return transactions_of(table(spark, sf_dir, "events"))
+
+
+def transactions_of(events: DataFrame) -> DataFrame:
+    """Events, a table's or a stream's, as transactions; times as TIMESTAMP, which watermarks need."""
+    return events.select(
         F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), (F.col("event_id") % 60).alias("merchant_id"), F.col("value").cast("decimal(12,2)").alias("amount"),
         F.col("event_type").alias("channel"), (F.col("event_id") % 12).cast("int").alias("shard_id"), F.col("ts").cast("timestamp").alias("event_time"), F.get_json_object("props", "$.k").alias("k"),
     )

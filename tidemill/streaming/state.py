@@ -114,6 +114,79 @@ class Changelog(_Kept):
         yield pd.DataFrame([], columns=["key", "op", "n", "total"])
 
 
+class LateWindows(_Kept):
+    """Tumbling windows with allowed lateness: a window fires once the watermark has reached its end, fires anew with its
+    corrected result for each batch of rows up to `lateness` after that, and then turns rows away as late ones.
+
+    Runs in ProcessingTime mode, where rows behind the watermark still arrive; a timer looks for windows to fire. Rows:
+    t (ms), amount. Held per key: count and total of the windows that may still change.
+    """
+
+    SCHEMA = "key string, window_ms long, kind string, n long, total double"
+
+    def __init__(self, width: int = 60_000, lateness: int = 10_000, poll: int = 100):
+        self.width, self.lateness, self.poll = width, lateness, poll
+
+    def _fire(self, key, windows: dict, mark: int, changed: set[str] | None = None) -> list[tuple]:
+        """Results of windows that have ended: those that haven't fired, and (given `changed`) fired ones in it."""
+        out = []
+        for w in sorted(windows, key=int):
+            n, total, fired = windows[w]
+            if int(w) + self.width <= mark and (not fired or w in (changed or ())):
+                out.append((key[0], int(w), "AGAIN" if fired else "FIRST", n, round(total, 2)))
+                windows[w] = (n, total, True)
+        return out
+
+    def _keep(self, windows: dict, mark: int, timerValues) -> None:
+        kept = {w: x for w, x in windows.items() if int(w) + self.width + self.lateness > mark}
+        self.save(kept)
+        if kept:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.poll)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        windows, changed, late, mark = self.load() or {}, set(), [], timerValues.getCurrentWatermarkInMs()
+        out = self._fire(key, windows, mark)
+        for frame in rows:
+            for t, amount in zip(frame["t"].tolist(), frame["amount"].tolist(), strict=True):
+                w = str(t - t % self.width)
+                if int(w) + self.width + self.lateness <= mark:
+                    late.append((key[0], int(w), "LATE", 1, amount))
+                    continue
+                n, total, fired = windows.get(w, (0, 0.0, False))
+                windows[w] = (n + 1, total + amount, fired)
+                changed.add(w)
+        out += self._fire(key, windows, mark, changed) + late
+        self._keep(windows, mark, timerValues)
+        yield pd.DataFrame(out, columns=["key", "window_ms", "kind", "n", "total"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        windows, mark = self.load() or {}, timerValues.getCurrentWatermarkInMs()
+        out = self._fire(key, windows, mark)
+        self._keep(windows, mark, timerValues)
+        yield pd.DataFrame(out, columns=["key", "window_ms", "kind", "n", "total"])
+
+
+class FirstSeen(StatefulProcessor):
+    """A key's first row; the key is forgotten `ttl` ms (of processing time) after it. Rows of a batch: the least id."""
+
+    SCHEMA = "key string, id long"
+
+    def __init__(self, ttl: int = 3_600_000):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "id long", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, fresh = min(int(frame["id"].min()) for frame in rows), not self.seen.exists()
+        if fresh:
+            self.seen.update((first,))
+        yield pd.DataFrame([(key[0], first)] if fresh else [], columns=["key", "id"])
+
+    def close(self) -> None:
+        pass
+
+
 def stateful(df: DataFrame, key: str, processor: _Kept, time_mode: str = "EventTime", output: str = "append") -> DataFrame:
     return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode=output, timeMode=time_mode)
 
