@@ -1,10 +1,13 @@
 """Order MinHash fingerprints, with DataFrame functions only.
 
 A text is a list of words (long ones in parts of 16 characters); its k-mers of K words are numbered by occurrence, so
-that the second one of a kind differs from the first. Hash space is cut into CELLS equal ranges, each with a random
-order of its own; in each, the two least k-mers are taken, put back into text order, and hashed as a pair. The pairs'
-hashes make the fingerprint; the likeness of two is the square root of the share of cells that agree, as a pair agrees
-only if both of its members do.
+that the second one of a kind differs from the first. CELLS random orders of all k-mers are used; in each, the text's
+two least k-mers are taken, put back into text order, and hashed as a pair. The pairs' hashes make the fingerprint; the
+likeness of two is the square root of the share of cells that agree, as a pair agrees only if both of its members do.
+
+Hash space is cut into CELLS equal ranges. Order c has the k-mers of range c first, by hash, and then all others by a
+hash of (hash, c) of their own. So a text with two k-mers in the range needs no others to be looked at, and a short text
+has a pair in every cell as soon as it has two k-mers.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ PLACE = (1 << PLACE_BITS) - 1
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds `out`: CELLS longs, null where a cell has no k-mer. Temporary columns are named after `out`.
+    """Adds `out`: CELLS longs, all null for a text without words. Temporary columns are named after `out`.
 
     Packed k-mers sort by hash, then place. Those that repeat the one before get a hash of (hash, occurrence). The
-    cells' lower bounds are sorted in with them, and the two entries after a bound are its cell's least.
+    ranges' lower bounds are sorted in with them, and the two entries after a bound are its cell's least. For a range
+    with fewer than two all k-mers are hashed anew: the range's own k-mer comes first, then the least of the others.
     """
     w, s, e, a = (f"_{out}_{x}" for x in "wsea")
     clear = f"{~PLACE}L"
@@ -45,14 +49,21 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     repeats = f"flatten(transform({a}, (h, r) -> transform(slice({e}, h + 1, coalesce(get({a}, r + 1), size({e})) - h), (x, j) -> (xxhash64(x & {clear}, j + 1) & {clear}) | (x & {PLACE}))))"
     firsts = f"filter({s}, (x, i) -> i = 0 OR (x & {clear}) != ({s}[greatest(i - 1, 0)] & {clear}))"
     bounds = ", ".join(f"{(i - CELLS // 2) << (64 - CELL_BITS)}L" if i else f"({-(1 << 63) + 1}L - 1L)" for i in range(CELLS))
-    df = df.withColumn(f"{a}2", F.expr(f"sort_array(concat(IF(size({e}) > 0, {firsts}, {s}), IF(size({e}) > 0, {repeats}, array()), array({bounds})))"))
-    s2, at = f"{a}2", f"{a}3"
+    v, s2, at, o = f"{a}1", f"{a}2", f"{a}3", f"{a}5"
+    df = df.withColumn(v, F.expr(f"concat(IF(size({e}) > 0, {firsts}, {s}), IF(size({e}) > 0, {repeats}, array()))"))
+    df = df.withColumn(s2, F.expr(f"sort_array(concat({v}, array({bounds})))"))
     df = df.withColumn(at, F.expr(f"filter(sequence(0, size({s2}) - 1), i -> ({s2}[i] & {PLACE}) = 0)"))
     in_cell = lambda d: f"(coalesce(get({s2}, p + {d}), 0) & {PLACE}) != 0"
-    first, second = f"{s2}[p + 1]", f"{s2}[p + 2]"
-    pair = f"IF(({first} & {PLACE}) <= ({second} & {PLACE}), xxhash64({first} & {clear}, {second} & {clear}), xxhash64({second} & {clear}, {first} & {clear}))"
-    df = df.withColumn(out, F.expr(f"transform({at}, p -> CASE WHEN NOT {in_cell(1)} THEN NULL WHEN NOT {in_cell(2)} THEN xxhash64({first} & {clear}) ELSE {pair} END)"))
-    return df.drop(w, s, e, a, s2, at)
+    two = f"{in_cell(1)} AND {in_cell(2)}"
+    mixed = lambda x: f"((xxhash64({x} & {clear}, c) & {clear}) | ({x} & {PLACE}))"
+    pair = lambda x, y: f"IF(({x} & {PLACE}) <= ({y} & {PLACE}), xxhash64({x} & {clear}, {y} & {clear}), xxhash64({y} & {clear}, {x} & {clear}))"
+    alls, rest = f"{a}4", f"{a}6"
+    df = df.withColumn(alls, F.expr(f"transform({at}, (p, c) -> IF({two}, CAST(array() AS array<bigint>), transform({v}, x -> {mixed('x')})))"))
+    df = df.withColumn(o, F.expr(f"transform({at}, (p, c) -> IF({two}, {s2}[p + 1], IF({in_cell(1)}, {mixed(f'{s2}[p + 1]')}, array_min({alls}[c]))))"))
+    df = df.withColumn(rest, F.expr(f"transform({at}, (p, c) -> IF({two}, {s2}[p + 2], array_min(array_remove({alls}[c], {o}[c]))))"))
+    first, second = f"{o}[c]", f"{rest}[c]"
+    df = df.withColumn(out, F.expr(f"transform({at}, (p, c) -> CASE WHEN {first} IS NULL THEN NULL WHEN {second} IS NULL THEN xxhash64({first} & {clear}) ELSE {pair(first, second)} END)"))
+    return df.drop(w, s, e, a, v, s2, at, alls, o, rest)
 
 
 def as_text(cells: str) -> Column:
