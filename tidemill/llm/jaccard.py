@@ -86,17 +86,17 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 def _classes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows of documents (kind 0) and, from every COUNTED shingles, those in two texts or more (kind 1)."""
-    target = to_arrow("kind int, doc_id long, key long, n long")
+    target = to_arrow("kind int, doc_id long, text_hash long, key long, n long")
     held, total = [], 0
 
     def often() -> pa.RecordBatch:
         token, times = np.unique(np.concatenate(held), return_counts=True)
         token, times = token[times > 1], times[times > 1]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), dtype=np.int32)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(times.astype(np.int64))], schema=target)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), dtype=np.int32)), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(times.astype(np.int64))], schema=target)
 
     for part in chunks(batches, limit=SHINGLE_BYTES):
         found = shingles(part["text"].to_pylist(), size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), dtype=np.int32)), part["doc_id"], pa.array([class_key(x) for x in found], type=pa.int64()), pa.array([len(x) for x in found], type=pa.int64())], schema=target)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), dtype=np.int32)), part["doc_id"], part["text_hash"], pa.array([class_key(x) for x in found], type=pa.int64()), pa.array([len(x) for x in found], type=pa.int64())], schema=target)
         held += found
         total += sum(map(len, found))
         if total >= COUNTED:
@@ -162,14 +162,19 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], schema=target)
 
 
+def _null_hash() -> Column:
+    """Tells texts without doc_id apart; 0 where there is a doc_id."""
+    return F.when(F.col("doc_id").isNull(), F.col("text_hash")).otherwise(F.lit(0).cast("long"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of stored pairs (a, b) of classes those that link. A leader with very many members is compared in several tasks."""
     many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(many, "a").select(F.col("b").alias("key"), F.col("a").alias("lead"), F.pmod(F.hash("b"), "salts").alias("salt"), F.lit(1).alias("role"))
     leaders = many.select(F.col("a").alias("key"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     goals = members.union(leaders).groupBy("key").agg(F.flatten(F.collect_list(F.array(F.col("lead"), F.col("salt").cast("long"), F.col("role").cast("long")))).alias("goals"))
-    by_doc = stored(goals.join(firsts, "key").select("doc_id", "key", "goals"), "goals")
-    texts = docs.join(checked_broadcast(by_doc), "doc_id")
+    by_doc = stored(goals.join(firsts, "key").select(F.col("doc_id").alias("of_doc"), F.col("null_hash").alias("of_hash"), "key", "goals"), "goals")
+    texts = docs.withColumn("null_hash", _null_hash()).join(checked_broadcast(by_doc), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("null_hash") == F.col("of_hash")))
     sets = texts.select("text", "key", "goals").mapInArrow(lambda b: _sets(b, size), "lead long, salt int, role int, key long, found binary")
     sets = sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role", "key")
     return sets.mapInArrow(lambda b: _compare(b, percent), "a long, b long")
@@ -180,16 +185,17 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent))
 
 
-def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text).
+def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text); by_text: also text_hash, xxhash64 of the text
+    (null: empty), which tells rows of one doc_id apart.
 
     Null texts and texts without words have no shingles and are linked with nothing: component_id is their doc_id.
     Equal sets are linked. Repeated rows get a row each; a null doc_id is no component_id as long as there is another.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    first = stored(docs.mapInArrow(lambda b: _classes(b, size), "kind int, doc_id long, key long, n long"), "classes")
-    nodes = first.where("kind = 0").select("doc_id", "key", "n")
-    firsts = nodes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    first = stored(docs.mapInArrow(lambda b: _classes(b, size), "kind int, doc_id long, text_hash long, key long, n long"), "classes")
+    nodes = first.where("kind = 0").select("doc_id", "text_hash", "key", "n")
+    firsts = nodes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).select("key", "doc_id", _null_hash().alias("null_hash"))
 
     common = first.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(f"n >= {OFTEN}").orderBy(F.desc("n"), "key").limit(MOST_OFTEN)
     often = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in common.select("key").toLocalIterator()], dtype=np.int64).view(np.uint64)))
@@ -225,6 +231,6 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     more = _verified(stored(found, "group-pairs"), docs, firsts, size, percent)
 
     labels = components(links.union(stored(more, "group-links")))
-    own = nodes.join(labels, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("label", "key").alias("label"), "n")
+    own = nodes.join(labels, F.col("key") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label"), "n")
     least = own.where("label IS NOT NULL").groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("least"))
-    return own.join(least, F.col("label") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return own.join(least, F.col("label") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *["text_hash"] * by_text)
