@@ -10,8 +10,9 @@ member that has the shingle earliest (it differs least from what is common), mem
 is linked becomes a group. The matrix has a row for each group and early shingle of a member, so it holds the union of
 the members' tokens with the bounds of their sizes and places. A class asks the matrix with its prefix; a group of
 others is opened only where those bounds allow an overlap that is large enough, and of its members only those that
-their own place and size allow are compared. Links found this way are all there are, whatever groups were formed; a
-pair already connected need not be compared, and so a group of copies costs a comparison a member.
+their own place and size allow are compared. So `linked` finds every link between groups, whatever groups were formed,
+and its components are exact; a pair already connected is not compared, and so a group of copies costs a comparison a
+member. `pairs` opens a class's own group too and returns every link, however many there are.
 """
 
 from __future__ import annotations
@@ -185,13 +186,9 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent))
 
 
-def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, by_text: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text); by_text: also text_hash, xxhash64 of the text
-    (null: empty), which tells rows of one doc_id apart.
-
-    Null texts and texts without words have no shingles and are linked with nothing: component_id is their doc_id.
-    Equal sets are linked. Repeated rows get a row each; a null doc_id is no component_id as long as there is another.
-    """
+def _links(docs: DataFrame, size: int, percent: int, own: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, key, n) of each row and links (a, b) of classes, some twice; of those within a group only the
+    ones to its leaders unless `own`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     first = stored(docs.mapInArrow(lambda b: _classes(b, size), "kind int, doc_id long, text_hash long, key long, n long"), "classes")
     nodes = first.where("kind = 0").select("doc_id", "text_hash", "key", "n")
@@ -222,15 +219,32 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, by_text: b
     early = grouped.where(_needed(F.col("n"), F.col("n"), percent) <= F.col("n") - F.col("i"))
     matrix = early.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("i")).alias("rest"))
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    may = (F.col("group") != F.col("other")) & (least <= F.least("n", "high")) & (_needed(F.col("n"), least, percent) <= F.least(F.col("n") - F.col("i"), F.col("rest")))
+    may = (F.lit(own) | (F.col("group") != F.col("other"))) & (least <= F.least("n", "high")) & (_needed(F.col("n"), least, percent) <= F.least(F.col("n") - F.col("i"), F.col("rest")))
     asked = grouped.withColumnRenamed("token", "of").join(matrix, (F.col("of") == F.col("token")) & may).select("token", "other", F.col("key").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"))
     members = early.select(F.col("token").alias("of"), F.col("group").alias("within"), "key", "n", "i")
-    can = (F.col("n") <= F.col("m")) & (_needed(F.col("n"), F.col("m"), percent) <= F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")))
+    can = (F.col("key") != F.col("a")) & (F.col("n") <= F.col("m")) & (_needed(F.col("n"), F.col("m"), percent) <= F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")))
     found = asked.join(members, (F.col("token") == F.col("of")) & (F.col("other") == F.col("within")) & can)
     found = found.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
     more = _verified(stored(found, "group-pairs"), docs, firsts, size, percent)
+    return nodes, links.union(stored(more, "group-links"))
+
+
+def pairs(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), a < b, of every two classes that are similar enough, and the members of the classes: doc_id,
+    text_hash, key (null for texts without shingles) and n_shingles of each row. Rows of one key have equal sets."""
+    nodes, links = _links(docs, size, percent, True)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes.withColumnRenamed("n", "n_shingles")
 
-    labels = components(links.union(stored(more, "group-links")))
+
+def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text); by_text: also text_hash, xxhash64 of the text
+    (null: empty), which tells rows of one doc_id apart.
+
+    Null texts and texts without words have no shingles and are linked with nothing: component_id is their doc_id.
+    Equal sets are linked. Repeated rows get a row each; a null doc_id is no component_id as long as there is another.
+    """
+    nodes, links = _links(docs, size, percent, False)
+    labels = components(links)
     own = nodes.join(labels, F.col("key") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label"), "n")
     least = own.where("label IS NOT NULL").groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("least"))
     return own.join(least, F.col("label") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *["text_hash"] * by_text)
