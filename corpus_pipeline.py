@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import jaccard, mixing, packing, quality, repeats
-from tidemill.llm.common import checked_broadcast, stored, table
+from tidemill.llm.common import checked_broadcast, stored, table, text_or_empty
 from tidemill.llm.word_ids import default_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,11 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of least doc_id stays. Rows that repeat doc_id and text are one
-    document; a row without doc_id stays."""
-    found = stored(jaccard.linked(docs), "linked")
-    gone = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    document; those that repeat doc_id with another text are judged by their own text; a row without doc_id stays."""
+    found = stored(jaccard.linked(docs, by_text=True), "linked")
+    gone = stored(found.where("doc_id != component_id").select("doc_id", "text_hash").distinct(), "gone")
     again = stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    left = docs.select(*COLUMNS).join(checked_broadcast(gone), "doc_id", "left_anti")
+    left = docs.select(*COLUMNS, F.xxhash64(text_or_empty()).alias("text_hash")).join(checked_broadcast(gone), ["doc_id", "text_hash"], "left_anti")
     again_side = checked_broadcast(again)
     once = left.join(again_side, "doc_id", "left_anti")
     return once.unionByName(left.join(again_side, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)

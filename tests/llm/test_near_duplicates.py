@@ -1,7 +1,8 @@
-"""Links of rows without doc_id, and links within a group."""
+"""Links of rows without doc_id, and the near-duplicate stage on doc_ids that stand on several rows."""
 
 import random
 
+import corpus_pipeline
 from tidemill.llm import jaccard
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -28,6 +29,14 @@ def test_a_null_id_near_copy_bridges_two_documents(spark):
     assert found == sorted([(1, 1), (None, 1), (2, 1), (3, 3), (None, 3), (None, None)], key=repr)
 
 
+def test_only_the_near_copy_of_a_repeated_doc_id_goes(spark):
+    base, clean = words(4), words(5)
+    rows = [(1, base), (5, edited(base, 50)), (5, clean), (5, clean), (6, words(6)), (None, base)]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, *rows), "").collect()
+    expected = [(1, base), (5, clean), (6, words(6)), (None, base)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(((d, " ".join(w)) for d, w in expected), key=repr)
+
+
 def test_pairs_are_all_links_of_a_group(spark):
     base = words(7)
     texts = [base, *[edited(base, i) for i in range(10, 90, 6)], words(8), edited(words(8), 9), words(9), base, []]
