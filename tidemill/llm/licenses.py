@@ -5,6 +5,10 @@ A block is a line, or a paragraph (lines up to a blank one). A template is found
 them, rarest first. A block that reaches the threshold must hold one of the first |T| - ceil(t|T|) + 1 words (prefix),
 have ceil(t|T|) words (length), and, from its first match at place i, no more than |T| - i words can be shared
 (position). Only then is the overlap counted.
+
+Templates of different labels that share so much of the shorter one are siblings. A block that may lack some words must
+still hold those that a template has and its sibling lacks, and a template inside a longer sibling gives way to it where
+the block holds the sibling's other words.
 """
 
 from __future__ import annotations
@@ -91,20 +95,36 @@ class Index:
             self.templates.append((label, words, need))
             for place, word in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(word, []).append((number, place))
+        self.required: list[set[bytes]] = [set() for _ in self.templates]
+        self.wider: list[list[set[bytes]]] = [[] for _ in self.templates]
+        for number, (label, words, _) in enumerate(self.templates):
+            for other, others, _ in self.templates:
+                own, rest = set(words) - set(others), set(others) - set(words)
+                if other != label and len(words) - len(own) >= threshold * min(len(words), len(others)) - 1e-9:
+                    self.required[number] |= own
+                    if not own and rest:
+                        self.wider[number].append(rest)
 
     def find(self, block: frozenset[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of every template that the block holds."""
+        return [(self.templates[number][0], share) for number, share in self._find(block)]
+
+    def told_apart(self, block: frozenset[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of the templates that the block holds, without those that it tells from a sibling."""
+        return [(self.templates[number][0], share) for number, share in self._find(block) if self.required[number] <= block and not any(rest <= block for rest in self.wider[number])]
+
+    def _find(self, block: frozenset[bytes]) -> list[tuple[int, float]]:
         seen: dict[int, int] = {}
         for word in block & self.prefix.keys():
             for number, place in self.prefix[word]:
                 seen[number] = min(place, seen.get(number, place))
         found = []
         for number, place in seen.items():
-            label, words, need = self.templates[number]
+            _, words, need = self.templates[number]
             if len(block) >= need and len(words) - place >= need:
                 shared = sum(w in block for w in words[place:])
                 if shared >= need:
-                    found.append((label, shared / len(words)))
+                    found.append((number, shared / len(words)))
         return found
 
 
@@ -144,7 +164,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
             words = folded.split()
             distinct = frozenset(words)
             at = places(words) if not starts.isdisjoint(distinct) else []
-            found = [x for block in blocks(folded) for x in index.find(block)] if not distinct.isdisjoint(index.prefix) else []
+            found = [x for block in blocks(folded) for x in index.told_apart(block)] if not distinct.isdisjoint(index.prefix) else []
             base = {label for _, label in at}
             score = 1.0 if at else max((s for _, s in found), default=0.0)
             rows.append((doc_id, len(words), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in found})), score))
