@@ -24,7 +24,7 @@ def h(*values):
 
 def plain_kmers(text):
     """(hash, place) of each k-mer, numbered by occurrence."""
-    w = re.findall(order_minhash.PART, text)
+    w = [r for x in re.findall(r"[^\x20\x09-\x0D]+", text) for r in ([x] if len(x) <= 16 else [x[i : i + 8] for i in range(len(x) - 7)])]
     grams = [h(a, b) & CLEAR for a, b in zip(w, w[1:])] if len(w) >= 2 else [h(" ".join(w)) & CLEAR] if w else []
     seen, out = Counter(), []
     for place, x in enumerate(grams, 1):
@@ -59,7 +59,7 @@ def independent_likeness(a, b):
 def texts():
     r = random.Random(9)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
-    return [" ".join(r.choices(words, k=n)) for n in (1, 2, 3, 5, 10, 20, 40, 80, 130, 200) for _ in range(12)] + ["", "a b a b a b a b", "x x x x"]
+    return [" ".join(r.choices(words, k=n)) for n in (1, 2, 3, 5, 10, 20, 40, 80, 130, 200) for _ in range(12)] + ["", "a b a b a b a b", "x x x x", "é" * 16 + " " + "日本語" * 6, "\U0001f600" * 40, "one " + "abcdefghij" * 3 + "\u2028\u0085z two"]
 
 
 def found_of(spark, rows):
@@ -85,3 +85,10 @@ def test_swapped_halves_are_as_unlike_as_with_independent_hashes(spark, texts):
         of = [(found[i]["near"], independent_likeness(plain_kmers(a), plain_kmers(b))) for i, a, b in rows if len(a.split()) == n]
         assert len(of) == 12 and abs(sum(x - y for x, y in of) / 12) < 0.08, (n, of)
         print(n, [round(sum(x) / 12, 2) for x in zip(*of, strict=True)])
+
+
+def test_an_insertion_in_text_without_white_space_changes_only_what_is_near(spark):
+    r = random.Random(3)
+    t = ["".join(r.choice("日本語中文字漢仮名交文章") for _ in range(600)) for _ in range(12)]
+    found = found_of(spark, [(i, x, x[:30] + "新" + x[30:]) for i, x in enumerate(t)])
+    assert sum(x["near"] for x in found.values()) / 12 > 0.9

@@ -1,6 +1,7 @@
 """Order MinHash fingerprints, with DataFrame functions only.
 
-A text is a list of words (long ones in parts of 16 characters); its k-mers of K words are numbered by occurrence, so
+A text is a list of words (one of over 16 characters is the list of its overlapping runs of 8, so that an insertion
+changes only the runs that hold it); its k-mers of K words are numbered by occurrence, so
 that the second one of a kind differs from the first. CELLS random orders of all k-mers are used; in each, the text's
 two least k-mers are taken, put back into text order, and hashed as a pair. The pairs' hashes make the fingerprint; the
 likeness of two is the square root of the share of cells that agree, as a pair agrees only if both of its members do.
@@ -23,7 +24,9 @@ from .token_files import id_ranges, range_of
 CELL_BITS = 6
 CELLS = 1 << CELL_BITS
 K = 2
-PART = r"[^\x20\x09-\x0D]{1,16}"
+WORD = r"[^\x20\x09-\x0D]+"
+#: Words of more characters than LONG are read as their overlapping runs of RUN characters.
+LONG, RUN = 16, 8
 #: Low bits of a packed k-mer hold its place in the text, from 1; places above the largest share it.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
@@ -38,7 +41,9 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     w, s, e, a = (f"_{out}_{x}" for x in "wsea")
     clear = f"{~PLACE}L"
-    df = df.withColumn(w, F.regexp_extract_all(F.col(text), F.lit(PART), F.lit(0)))
+    df = df.withColumn(w, F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
+    runs = F.flatten(F.transform(w, lambda x: F.when(F.char_length(x) > LONG, F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{RUN}}}))."), F.lit(1))).otherwise(F.array(x))))
+    df = df.withColumn(w, F.when(F.exists(w, lambda x: F.char_length(x) > LONG), runs).otherwise(F.col(w)))
     packed = f"transform(sequence(0, size({w}) - {K}), i -> (xxhash64({', '.join(f'{w}[i + {j}]' for j in range(K))}) & {clear}) | least(i + 1, {PLACE}))"
     short = f"IF(size({w}) > 0, array((xxhash64(concat_ws(' ', {w})) & {clear}) | 1), array())"
     df = df.withColumn(s, F.expr(f"sort_array(IF(size({w}) >= {K}, {packed}, {short}))"))
