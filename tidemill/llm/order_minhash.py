@@ -13,12 +13,13 @@ has a pair in every cell as soon as it has two k-mers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_or_empty
-from .token_files import id_ranges, range_of
+from .common import stored, text_or_empty
 
 #: Cells of a fingerprint (a power of two, 2 ** CELL_BITS).
 CELL_BITS = 6
@@ -30,6 +31,11 @@ LONG, RUN = 16, 8
 #: Low bits of a packed k-mer hold its place in the text, from 1; places above the largest share it.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
+#: Ranges that rows are dealt out in at most, and rows that are sampled for each.
+MOST_RANGES, SAMPLED = 1 << 15, 20
+#: Bytes of text in a range, about.
+RANGE_BYTES = 16 << 20
+KEY = "struct<known:int,id:long,hash:long>"
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -83,35 +89,56 @@ def likeness(a: str, b: str) -> Column:
     return F.when(used == 0, 1.0).otherwise(F.sqrt(same / used))
 
 
-def with_next(df: DataFrame, take: list[str], range_bytes: int = 16 << 20, most_ranges: int = 4096) -> DataFrame:
-    """Adds next_<c> for each c of `take`: the value in the next row by descending doc_id (null last), then text; after
-    the last row comes the first.
-
-    Rows are dealt out by ranges of doc_id. The first row of each range is also sent to the range before it, as the end
-    marker there, so no window spans more than one range.
+def _bounds(keyed: DataFrame, range_bytes: int) -> DataFrame:
+    """One row: the sorted keys that cut the rows into ranges of about `range_bytes` of text, or of more where there
+    would be over MOST_RANGES. They come from a sample of SAMPLED rows a range, by its bytes."""
+    spark = keyed.sparkSession
+    rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    n = min(MOST_RANGES, -(-total // range_bytes))
+    bounds = []
+    if n > 1:
+        sample = keyed.select("_key", F.octet_length("text").alias("size")).sample(min(1.0, SAMPLED * n / rows), 7).collect()
+        sample.sort(key=lambda r: tuple(r["_key"]))
+        share, held = sum(r["size"] for r in sample) / n, 0
+        for r in sample:
+            held += r["size"]
+            if held >= share:
+                bounds.append(tuple(r["_key"]))
+                held = 0
+    return spark.createDataFrame([(sorted(set(bounds)),)], f"_bounds array<{KEY}>")
+
+
+def _range() -> Column:
+    """How many bounds are less than the key, by bisection."""
+    step = f"shiftleft(1, {MOST_RANGES.bit_length() - 1} - k)"
+    return F.expr(f"aggregate(sequence(0, {MOST_RANGES.bit_length() - 1}), 0, (p, k) -> IF(p + {step} <= size(_bounds) AND _bounds[least(p + {step}, size(_bounds)) - 1] < _key, p + {step}, p))")
+
+
+def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame], take: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """docs (doc_id, text) with what `add` adds to each row, and next_<c> for each c of `take`: the value in the next row
+    by descending doc_id (null last), then descending hash of the text; after the last row comes the first.
+
+    Rows are dealt out by ranges of (doc_id, hash), so a doc_id that many rows share is cut as well. The first row of
+    each range is also sent to the range before it, as the end marker there, so no window spans more than one range.
     """
-    total = df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    bounds = id_ranges(df, max(range_bytes, total // most_ranges + 1))
-    placed = df.withColumn("_range", range_of(bounds).cast("int")).withColumn("_end", F.lit(0))
-    tops = {r["_range"]: r["top"] for r in placed.groupBy("_range").agg(F.max("doc_id").alias("top")).collect()}  # most_ranges rows at most
-    order = sorted(tops)
-    if not order:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in take])
-    n = order[-1] + 1
-    top = F.element_at(F.array(*[F.lit(tops.get(i)).cast("long") for i in range(n)]), F.col("_range") + 1)
-    goal = F.element_at(F.array(*[F.lit(order[(order.index(i) + 1) % len(order)] if i in tops else 0) for i in range(n)]), F.col("_range") + 1)
-    ends = placed.where(F.col("doc_id").eqNullSafe(top)).withColumn("_range", goal.cast("int")).withColumn("_end", F.lit(1))
-    window = Window.partitionBy("_range").orderBy("_end", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return placed.unionByName(ends).select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in take]).where("_end = 0").drop("_range", "_end")
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")))
+    placed = keyed.join(F.broadcast(_bounds(keyed, range_bytes))).withColumn("_range", _range()).drop("_bounds")  # one row
+    tops = stored(placed.groupBy("_range").agg(F.max("_key").alias("_top")), "range-tops")  # MOST_RANGES rows at most
+    after = F.coalesce(F.lead("_range").over(Window.orderBy("_range")), F.min("_range").over(Window.partitionBy()))
+    goals = tops.select(F.col("_range").alias("_of"), "_top", after.alias("_goal"))
+    ends = placed.join(F.broadcast(goals), (F.col("_range") == F.col("_of")) & (F.col("_key") == F.col("_top")))
+    ends = ends.select(*docs.columns, "_key", F.col("_goal").alias("_range")).dropDuplicates(["_range"])  # those that repeat are alike
+    both = add(placed).withColumn("_end", F.lit(0)).unionByName(add(ends).withColumn("_end", F.lit(1)))
+    window = Window.partitionBy("_range").orderBy("_end", F.col("_key").desc())
+    return both.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in take]).where("_end = 0").drop("_range", "_end", "_key")
+
+
+def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every whole text (null: empty) and of its edited text, whose last floor(n/2) code points are
     replaced by as many of the next document's first ones, with the likeness to the edited and to the next text.
     Repeated rows get a row each and are each other's next; an only row is its own next; an empty table gives no rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    own = fingerprint(docs, "text", "cells")
-    own = with_next(own, ["text", "cells"])
+    own = with_next(docs, lambda df: fingerprint(df, "text", "cells"), ["text", "cells"], range_bytes)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = own.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - half)), F.substring("next_text", F.lit(1), half)))
