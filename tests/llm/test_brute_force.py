@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidemill.llm import jaccard, licenses, mixing, order_minhash, packing, quality, repeats, token_counts, token_files, toxicity
 from tidemill.llm.word_ids import WordIds, default_path
@@ -37,6 +38,11 @@ def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 
 
+def text_hash(text):
+    """xxhash64 as Spark has it."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).view(np.int64))
+
+
 def pairs(corpus):
     return [(r["doc_id"], r["text"] or "") for r in corpus.collect()]
 
@@ -143,7 +149,7 @@ def test_licenses(corpus, empty):
 
 
 def test_order_minhash(corpus, empty):
-    docs = sorted(pairs(corpus), key=lambda d: (d[0] is None, -(d[0] or 0), [-ord(c) for c in d[1]]))
+    docs = sorted(pairs(corpus), key=lambda d: (d[0] is None, -(d[0] or 0), -text_hash(d[1])))
     expected = []
     for i, (doc_id, t) in enumerate(docs):
         after, half = docs[(i + 1) % len(docs)][1], len(t) // 2
@@ -151,6 +157,7 @@ def test_order_minhash(corpus, empty):
     found = order_minhash.fingerprints(corpus).cache()
     assert {(a, b) for a, b, _ in expected} == {(r["doc_id"], r["n_chars"]) for r in found.collect()}
     assert rows_of(found, "doc_id", "n_chars", "edited_sha256") == sorted(expected, key=repr)
+    assert rows_of(order_minhash.fingerprints(corpus, 3000), *found.columns) == rows_of(found, *found.columns)  # many ranges
     copies = {r["fingerprint"] for r in found.where("doc_id IN (5, 6)").collect()}
     assert len(copies) == 1 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found.collect())
     assert order_minhash.fingerprints(empty).count() == 0
@@ -195,7 +202,7 @@ def test_toxicity(spark, empty):
 
 def test_token_files(corpus, empty):
     encoder = WordIds(default_path())
-    docs = sorted(pairs(corpus), key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    docs = sorted(pairs(corpus), key=lambda d: (d[0] is not None, d[0] or 0, text_hash(d[1])))
     expected, start = [], 0
     for (doc_id, _), raw in zip(docs, encoder.encode([t for _, t in docs]), strict=True):
         raw += (2).to_bytes(4, "little")

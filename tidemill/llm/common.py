@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-#: Rows up to which a side may be broadcast (checked by a count before each use); beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side may be broadcast (summed over its rows before each use); beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch that Spark sends to a Python worker (a larger row stands alone).
+BATCH_BYTES = 4 << 20
 #: Bytes of text that a Python step takes at once.
 CHUNK_BYTES = 2 << 20
 
@@ -23,18 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where none is set (as in tests) a local one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only on a local master, as in tests, one is made where
+    none is set: on a cluster each machine would write to a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
+        if found.isDefined():
+            root = found.get()
+        elif re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", spark.sparkContext.master):
+            root = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the driver ends."""
+    """A new path in the shared folder; it is removed when the driver ends, if it wasn't before."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(remove, spark, path)
     return path
@@ -49,23 +59,57 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, codec: str = "zstd", done: Sequence[DataFrame] = ()) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    `done`: stored frames that nothing reads once df is written; their files go."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for frame in done:
+        discard(frame)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def discard(frame: DataFrame) -> None:
+    """Removes the files of a stored frame."""
+    if path := getattr(frame, "_scratch", None):
+        remove(frame.sparkSession, path)
+
+
+def _width(field: StructField) -> Column:
+    """Bytes of a column's value in memory, about."""
+    value, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 24
+    if isinstance(kind, StructType):
+        return F.lit(8 + sum(64 if isinstance(f.dataType, (ArrayType, StructType, StringType)) else 8 for f in kind)) + F.coalesce(F.octet_length(F.to_json(value)), F.lit(0))
+    return F.lit(8)
 
 
-def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Hints a broadcast only if df (already stored) is counted at BROADCAST_ROWS rows or fewer."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def checked_broadcast(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Hints a broadcast only if the rows of df (already stored) have BROADCAST_BYTES or less in memory, by their sum."""
+    width = F.lit(16)
+    for field in df.schema:
+        width = width + _width(field)
+    n = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= (BROADCAST_BYTES if most is None else most) else df
 
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded bytes: Spark's default of 64 MB holds in the JVM and again in each worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices batches so that one slice holds about `limit` bytes of text (a longer text stands alone)."""
     for batch in batches:
@@ -91,7 +135,7 @@ def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, list] | Non
             if out is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip((out[f.name] for f in target), target, strict=True)], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 #: The names of Spark types that the operators' Python steps return.

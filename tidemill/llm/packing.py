@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mapped, stored, text_or_empty
-from .token_files import ENCODE_BYTES
+from .common import checked_broadcast, in_arrow, mapped, stored, text_or_empty
 from .word_ids import worker
 
 #: Tokens of a window, its length classes, and the most pieces that a combination has.
 WINDOW, CLASSES, DEPTH = 4096, 64, 3
-#: Parts that each length is ranked in, so that one very common length is spread over tasks.
-RANK_PARTS = 64
+#: Pieces of one length that are ranked together, so that a very common length is spread over tasks.
+RANK_ROWS = 50_000
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:
@@ -162,13 +161,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -
         return dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), map(list, zip(*rows, strict=True)), strict=True))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return mapped(docs, cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", ENCODE_BYTES)
+    return mapped(docs, cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def assign(cut: DataFrame, window: int = WINDOW, classes: int = CLASSES, depth: int = DEPTH) -> DataFrame:
     """Adds sequence_id and offset to stored pieces. Every piece gets exactly one slot; offsets in a sequence have no gaps."""
-    counts = cut.groupBy("length").count().collect()  # at most `window` rows
-    made = plan({r["length"]: r["count"] for r in counts}, window, classes, depth)
+    histogram = stored(cut.groupBy("length").count(), "pack-lengths")
+    made = plan({r["length"]: r["count"] for r in histogram.collect()}, window, classes, depth)  # at most `window` rows
     #: For each length, in rank order: first rank, first sequence, offset in the first of equal slots, equal slots per sequence.
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     taken: Counter = Counter()
@@ -182,12 +181,13 @@ def assign(cut: DataFrame, window: int = WINDOW, classes: int = CLASSES, depth:
         sequence += n
     tables = cut.sparkSession.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in slots.items()})
 
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_PARTS))
-    ranked = cut.withColumn("part", part.cast("int"))
+    parts = F.ceil(F.col("count") / RANK_ROWS).cast("int")
+    ranked = cut.join(F.broadcast(histogram.select("length", parts.alias("parts"))), "length")  # at most `window` rows
+    ranked = ranked.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "parts").cast("int")).drop("parts")
     sizes = ranked.groupBy("length", "part").count()
     before = sizes.select("length", "part", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
-    ranked = ranked.withColumn("rank", F.row_number().over(within) - 1).join(F.broadcast(before), ["length", "part"])  # at most window x RANK_PARTS rows
+    ranked = ranked.withColumn("rank", F.row_number().over(within) - 1).join(checked_broadcast(stored(before, "pack-ranks")), ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
 
     def place(batch: pa.RecordBatch) -> dict[str, list]:
@@ -209,9 +209,11 @@ def assign(cut: DataFrame, window: int = WINDOW, classes: int = CLASSES, depth:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(place(batch))
 
-    return ranked.mapInArrow(run, schema)
+    return in_arrow(ranked, run, schema)
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
-    """Packs all documents into sequences of at most `window` ids: one row per piece. An empty table gives no rows."""
+    """Packs all documents (doc_id, text) into sequences of at most `window` ids: one row per piece. A null text is empty
+    and packs its end id alone; repeated rows and rows that share a doc_id are documents of their own; an empty table
+    gives no rows."""
     return assign(stored(pieces(docs, tokenizer, end_id, window), "pieces"), window)

@@ -1,7 +1,8 @@
 """Token-ID output in fixed-width bit-packed files.
 
-A file holds the ids of whole documents in ascending doc_id order. Every id takes the same number of bits,
-the fewest that the vocabulary allows, least significant bit first. Layout, little-endian:
+A file holds the ids of whole documents in ascending doc_id order, a bounded number of them unless one document has more.
+Every id takes the same number of bits, the fewest that the vocabulary allows, least significant bit first. Layout,
+little-endian:
 
     magic 8 bytes | bits u32 | ids per block u32 | ids u64 | documents u64
     doc_id i64 x documents | doc_id is null u8 x documents | ids before each document u64 x (documents + 1)
@@ -20,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, chunks, mapped, scratch, stored, text_or_empty, to_arrow
+from .common import chunks, in_arrow, scratch, stored, text_or_empty, to_arrow
 from .word_ids import worker
 
 MAGIC = b"TIDEPK01"
@@ -33,8 +34,8 @@ HEAD = struct.Struct("<8sIIQQ")
 BLOCK_IDS = 65_536
 #: Bytes of text per file, about.
 FILE_BYTES = 16 << 20
-#: Bytes of text encoded at once.
-ENCODE_BYTES = 8 << 20
+#: Tasks whose files' starts are summed together, and tasks that read files at most.
+TASK_GROUP, READ_TASKS = 1024, 10_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -78,45 +79,89 @@ def unpack(raw: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
+class PackedWriter:
+    """One file's content, packed block by block as ids arrive: what is held of it has `bits` bits an id."""
+
+    def __init__(self, bits: int, block_ids: int = BLOCK_IDS):
+        self.bits, self.block_ids = bits, block_ids
+        self.keys: list[int | None] = []
+        self.offsets, self.n_ids = [0], 0
+        self.blocks: list[bytes] = []
+        self.pending: list[bytes] = []
+        self.n_pending = 0
+
+    def extend(self, raw: bytes) -> None:
+        """More ids, little-endian unsigned 32-bit integers, of the document at hand."""
+        self.pending.append(raw)
+        self.n_pending += len(raw) // 4
+        if self.n_pending >= self.block_ids:
+            self._pack(self.n_pending // self.block_ids * self.block_ids)
+
+    def end_document(self, doc_id: int | None) -> None:
+        self.keys.append(doc_id)
+        self.n_ids = len(self.blocks) * self.block_ids + self.n_pending
+        self.offsets.append(self.n_ids)
+
+    def _pack(self, n: int) -> None:
+        ids = np.frombuffer(b"".join(self.pending), dtype="<u4")
+        if len(ids) and int(ids.max()) >> self.bits:
+            raise ValueError(f"an id needs more than {self.bits} bits")
+        self.blocks += [pack(ids[i : min(n, i + self.block_ids)], self.bits) for i in range(0, n, self.block_ids)]
+        self.pending, self.n_pending = [ids[n:].tobytes()], len(ids) - n
+
+    def parts(self) -> Iterator[bytes]:
+        """The file, in order."""
+        if self.n_pending:
+            self._pack(self.n_pending)
+        at = np.zeros(len(self.blocks) + 1, dtype="<u8")
+        np.cumsum([len(b) for b in self.blocks], out=at[1:])
+        yield HEAD.pack(MAGIC, self.bits, self.block_ids, self.n_ids, len(self.keys))
+        yield np.array([d or 0 for d in self.keys], dtype="<i8").tobytes()
+        yield np.array([d is None for d in self.keys], dtype=np.uint8).tobytes()
+        yield np.array(self.offsets, dtype="<u8").tobytes()
+        yield at.tobytes()
+        yield from self.blocks
+
+
 def file_bytes(doc_ids: list[int | None], ids: list[bytes], bits: int, block_ids: int = BLOCK_IDS) -> bytes:
     """One file from documents' ids (each as little-endian unsigned 32-bit integers)."""
-    offsets = np.zeros(len(ids) + 1, dtype="<u8")
-    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-    flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    if len(flat) and int(flat.max()) >> bits:
-        raise ValueError(f"an id needs more than {bits} bits")
-    blocks = [pack(flat[i : i + block_ids], bits) for i in range(0, len(flat), block_ids)]
-    at = np.zeros(len(blocks) + 1, dtype="<u8")
-    np.cumsum([len(b) for b in blocks], out=at[1:])
-    nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
-    keys = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    return b"".join([HEAD.pack(MAGIC, bits, block_ids, len(flat), len(ids)), keys.tobytes(), nulls.tobytes(), offsets.tobytes(), at.tobytes(), *blocks])
+    writer = PackedWriter(bits, block_ids)
+    for doc_id, raw in zip(doc_ids, ids, strict=True):
+        writer.extend(raw)
+        writer.end_document(doc_id)
+    return b"".join(writer.parts())
 
 
 class PackedFile:
-    """Random access to the content of one file."""
+    """Random access to the content of one file: bytes, or an open Arrow file, of which only what is asked for is read."""
 
-    def __init__(self, content: bytes):
-        self.raw = memoryview(content)
-        magic, self.bits, self.block_ids, self.n_ids, self.n_docs = HEAD.unpack_from(self.raw)
+    def __init__(self, content: bytes | pa.NativeFile):
+        self.file = pa.BufferReader(content) if isinstance(content, bytes) else content
+        magic, self.bits, self.block_ids, self.n_ids, self.n_docs = HEAD.unpack(self._read(0, HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a packed token file")
         at = HEAD.size
-        self.doc_ids = np.frombuffer(self.raw, "<i8", self.n_docs, at)
-        self.null_ids = np.frombuffer(self.raw, np.uint8, self.n_docs, at := at + 8 * self.n_docs).astype(bool)
-        self.offsets = np.frombuffer(self.raw, "<u8", self.n_docs + 1, at := at + self.n_docs).astype(np.int64)
-        self.blocks = np.frombuffer(self.raw, "<u8", -(-self.n_ids // self.block_ids) + 1, at := at + 8 * (self.n_docs + 1)).astype(np.int64)
+        self.doc_ids = np.frombuffer(self._read(at, 8 * self.n_docs), "<i8")
+        self.null_ids = np.frombuffer(self._read(at := at + 8 * self.n_docs, self.n_docs), np.uint8).astype(bool)
+        self.offsets = np.frombuffer(self._read(at := at + self.n_docs, 8 * (self.n_docs + 1)), "<u8").astype(np.int64)
+        n_blocks = -(-self.n_ids // self.block_ids)
+        self.blocks = np.frombuffer(self._read(at := at + 8 * (self.n_docs + 1), 8 * (n_blocks + 1)), "<u8").astype(np.int64)
         self.payload = at + 8 * len(self.blocks)
 
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """Ids [start, stop) of the file; only the blocks that hold them are unpacked."""
+        """Ids [start, stop) of the file; only the blocks that hold them are read and unpacked."""
         if stop <= start:
             return np.empty(0, dtype="<u4")
         first, last = start // self.block_ids, (stop - 1) // self.block_ids
+        raw = memoryview(self._read(self.payload + int(self.blocks[first]), int(self.blocks[last + 1] - self.blocks[first])))
         parts = []
         for k in range(first, last + 1):
             n = min(self.block_ids, self.n_ids - k * self.block_ids)
-            parts.append(unpack(self.raw[self.payload + self.blocks[k] : self.payload + self.blocks[k + 1]], n, self.bits))
+            parts.append(unpack(raw[self.blocks[k] - self.blocks[first] : self.blocks[k + 1] - self.blocks[first]], n, self.bits))
         return np.concatenate(parts)[start - first * self.block_ids : stop - first * self.block_ids]
 
     def document(self, i: int) -> np.ndarray:
@@ -133,108 +178,91 @@ class PackedFile:
             i = j
 
 
-def id_ranges(docs: DataFrame, per_range: int, column: str = "doc_id", size: Column | None = None) -> list[int]:
-    """Upper bounds (exclusive) that cut the ids into ranges of about `per_range` bytes of text; one number per range."""
-    size = F.octet_length(text_or_empty()) if size is None else size
-    total = docs.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
-    n = math.ceil(total / per_range)
-    if n < 2:
-        return []
-    marks = docs.agg(F.percentile_approx(column, [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
-    return sorted(set(marks or []))
-
-
-def range_of(bounds: list[int], column: str = "doc_id") -> Column:
-    """The number of the range that an id is in; null ids come first."""
-    if not bounds:
-        return F.lit(0)
-    marks = F.array(*[F.lit(int(b)) for b in bounds])
-    return F.when(F.col(column).isNull(), 0).otherwise(F.size(F.filter(marks, lambda b: b < F.col(column)))).cast("int") if len(bounds) <= 64 else F.coalesce(_bisect(bounds, column), F.lit(0))
-
-
-def _bisect(bounds: list[int], column: str) -> Column:
-    """Binary search as nested conditions: depth log2 of the number of bounds."""
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(column) <= F.lit(int(bounds[mid])), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return F.when(F.col(column).isNotNull(), build(0, len(bounds)))
-
-
 def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, file_bytes_of_text: int = FILE_BYTES) -> DataFrame:
     """Encodes whole texts (null: empty), appends end_id to each and writes the files under `path`, which all executors
-    must share. Documents are ordered by doc_id, null first, then by text; repeated rows are documents of their own.
-    An empty table writes nothing. Returns the manifest: file, n_docs, n_ids, start (ids of all files before).
+    must share. Documents are ordered by doc_id, null first, then by their text's hash; repeated rows are documents of
+    their own. An empty table writes nothing. Returns the manifest: task, file, n_docs, n_ids, start (ids of all files
+    before).
 
-    A file is written under a temporary name and then moved, so a repeated task only replaces it by its equal.
+    Spark's range partitioning deals the rows by (doc_id, hash of the text, row), so a doc_id that many rows share is
+    spread over tasks; a task begins another file at file_bytes_of_text, so no file grows with a task. A file is written
+    under a temporary name and then moved, so a repeated task only replaces it by its equal.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bounds = id_ranges(docs, file_bytes_of_text)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     bits, end = bits_for(vocabulary), np.array([end_id], dtype="<u4").tobytes()
-    schema = "file int, n_docs long, n_ids long"
+    schema = "task long, file long, n_docs long, n_ids long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
         system, root = fs.FileSystem.from_uri(path)
         system.create_dir(root, recursive=True)
-        encoder = worker(tokenizer)
-        number, keys, ids = None, [], []
+        encoder, task, number = worker(tokenizer), TaskContext.get().partitionId(), 0
+        writer, held = PackedWriter(bits), 0
 
         def close() -> pa.RecordBatch:
-            name = f"{root}/part-{number:08d}.tide"
             with system.open_output_stream(hidden := f"{root}/_{uuid.uuid4().hex}") as f:
-                f.write(file_bytes(keys, ids, bits))
-            system.move(hidden, name)
-            return pa.RecordBatch.from_pydict({"file": [number], "n_docs": [len(keys)], "n_ids": [sum(len(x) // 4 for x in ids)]}, schema=to_arrow(schema))
-
-        for part in chunks(batches, "text", ENCODE_BYTES):
-            encoded = encoder.encode(part["text"].to_pylist())
-            for n, key, raw in zip(part["file"].to_pylist(), part["doc_id"].to_pylist(), encoded, strict=True):
-                if n != number and keys:
+                for part in writer.parts():
+                    f.write(part)
+            system.move(hidden, f"{root}/{file_name(task, number)}")
+            return pa.RecordBatch.from_pydict({"task": [task], "file": [number], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]}, schema=to_arrow(schema))
+
+        for part in chunks(batches):
+            for key, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                for ids in encoder.parts(text):
+                    writer.extend(ids)
+                writer.extend(end)
+                writer.end_document(key)
+                held += len(text)
+                if held >= file_bytes_of_text:
                     yield close()
-                    keys, ids = [], []
-                number = n
-                keys.append(key)
-                ids.append(raw + end)
-        if keys:
+                    writer, held, number = PackedWriter(bits), 0, number + 1
+        if writer.keys:
             yield close()
 
-    placed = docs.withColumn("file", range_of(bounds).cast("int"))
-    placed = placed.repartition(len(bounds) + 1, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "text") if bounds else placed.coalesce(1).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = stored(placed.mapInArrow(write, schema), "packed-manifest")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return stored(manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "packed-starts")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    placed = docs.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(max(1, math.ceil(total / file_bytes_of_text)), *order).sortWithinPartitions(*order)
+    manifest = stored(in_arrow(placed.select("doc_id", "text"), write, schema), "packed-manifest")
+    # Ids before a file: those of the groups of tasks before, and of the files before in its group.
+    manifest = manifest.withColumn("tasks", F.floor(F.col("task") / TASK_GROUP))
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = manifest.groupBy("tasks").agg(F.sum("n_ids").alias("n_ids")).select(F.col("tasks").alias("of"), earlier(Window.orderBy("tasks")).alias("base"))
+    within = manifest.withColumn("before", earlier(Window.partitionBy("tasks").orderBy("task", "file")))
+    return stored(within.join(groups, F.col("tasks") == F.col("of")).select("task", "file", "n_docs", "n_ids", (F.col("base") + F.col("before")).alias("start")), "packed-starts")
+
 
+def file_name(task: int, number: int) -> str:
+    return f"part-{task:08d}-{number:06d}.tide"
 
-def read_packed(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+
+def read_packed(path: str, manifest: DataFrame) -> DataFrame:
     """One row per document, from the files alone: doc_id, start (ids of all documents before it), n_tokens and
-    ids_crc32 (unsigned crc32 of its ids as little-endian unsigned 32-bit integers)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tide").load(path).select(F.regexp_extract("path", r"part-(\d+)\.tide$", 1).cast("int").alias("file"), "content")
-    schema = "file int, doc_id long, local long, n_tokens long, ids_crc32 long"
+    ids_crc32 (unsigned crc32 of its ids as little-endian unsigned 32-bit integers). The manifest names the files and
+    the ids before each."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    target = to_arrow(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def read(part: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {f.name: [] for f in to_arrow(schema)}
-        for number, content in zip(part["file"].to_pylist(), part["content"], strict=True):
-            for doc_id, local, ids in PackedFile(content.as_buffer().to_pybytes()).documents():
-                for name, value in zip(out, (number, doc_id, local, len(ids), zlib.crc32(ids.tobytes())), strict=True):
-                    out[name].append(value)
-        return out
+        system, root = fs.FileSystem.from_uri(path)
+        for part in batches:
+            for task, number, start in zip(*(part[c].to_pylist() for c in ("task", "file", "start")), strict=True):
+                with system.open_input_file(f"{root}/{file_name(task, number)}") as f:
+                    rows = [(doc_id, start + local, len(ids), zlib.crc32(ids.tobytes())) for doc_id, local, ids in PackedFile(f).documents()]
+                yield pa.RecordBatch.from_arrays([pa.array(column, type=field.type) for column, field in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
-    rows = mapped(files, read, schema, limit=1, column="content")
-    starts = checked_broadcast(manifest.select("file", "start"))
-    return rows.join(starts, "file").select("doc_id", (F.col("start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    files = manifest.count()
+    return in_arrow(manifest.select("task", "file", "start").repartition(max(1, min(files, READ_TASKS))), read, schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_bytes_of_text: int = FILE_BYTES) -> DataFrame:
-    """Writes the packed files of `docs` to the shared folder and returns what read_packed finds in them."""
-    spark = docs.sparkSession
-    path = scratch(spark, "token-files")
-    vocabulary = worker(tokenizer).vocabulary
-    manifest = write_packed(docs, path, tokenizer, end_id, vocabulary, file_bytes_of_text)
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_packed(spark, path, manifest)
+    """Writes the packed files of `docs` (doc_id, text) to the shared folder and returns what read_packed finds in them.
+    Null texts are empty and have the end id only; nulls, ties and repeated rows as in write_packed; an empty table gives
+    no rows."""
+    path = scratch(docs.sparkSession, "token-files")
+    manifest = write_packed(docs, path, tokenizer, end_id, worker(tokenizer).vocabulary, file_bytes_of_text)
+    return read_packed(path, manifest)
