@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, chunks, stored, text_or_empty, to_arrow
+from .common import BATCH_BYTES, checked_broadcast, chunks, in_arrow, stored, text_or_empty, to_arrow
 from .components import components
 
 #: Words of a shingle and least similarity in hundredths.
@@ -39,8 +39,8 @@ OFTEN, MOST_OFTEN = 4, 1_000_000
 COUNTED = 4_000_000
 #: Bytes of text that are cut into shingles at once.
 SHINGLE_BYTES = 2 << 20
-#: Members that are compared with a leader in one task.
-MEMBERS = 512
+#: Members that are compared with a leader in one task, and such tasks that are named in one row of the leader's.
+MEMBERS, GOALS = 512, 1024
 
 
 def shingles(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
@@ -88,21 +88,28 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 def _classes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Rows of documents (kind 0) and, from every COUNTED shingles, those in two texts or more (kind 1)."""
     target = to_arrow("kind int, doc_id long, text_hash long, key long, n long")
-    held, total = [], 0
+    held = np.empty(COUNTED, dtype=np.uint64)
+    total = 0
 
     def often() -> pa.RecordBatch:
-        token, times = np.unique(np.concatenate(held), return_counts=True)
-        token, times = token[times > 1], times[times > 1]
+        own = held[:total]
+        own.sort()
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        times = np.diff(np.r_[first, total])
+        token, times = own[first[times > 1]], times[times > 1]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), dtype=np.int32)), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(times.astype(np.int64))], schema=target)
 
     for part in chunks(batches, limit=SHINGLE_BYTES):
         found = shingles(part["text"].to_pylist(), size)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), dtype=np.int32)), part["doc_id"], part["text_hash"], pa.array([class_key(x) for x in found], type=pa.int64()), pa.array([len(x) for x in found], type=pa.int64())], schema=target)
-        held += found
-        total += sum(map(len, found))
-        if total >= COUNTED:
-            yield often()
-            held, total = [], 0
+        for own in found:
+            while len(own):
+                n = min(len(own), COUNTED - total)
+                held[total : total + n] = own[:n]
+                total, own = total + n, own[n:]
+                if total == COUNTED:
+                    yield often()
+                    total = 0
     if total:
         yield often()
 
@@ -133,14 +140,20 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, often:
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A text's set for each comparison that it takes part in."""
     target = to_arrow("lead long, salt int, role int, key long, found binary")
+    out: list[list] = [[], [], [], [], []]
+    total = 0
     for part in chunks(batches, limit=SHINGLE_BYTES):
-        out: list[list] = [[], [], [], [], []]
         for found, key, goals in zip(shingles(part["text"].to_pylist(), size), part["key"].to_pylist(), part["goals"].to_pylist(), strict=True):
             if class_key(found) == key:  # rows that only repeat a doc_id are passed over
                 raw = found.tobytes()
                 for lead, salt, role in zip(*[iter(goals)] * 3, strict=True):
                     for column, value in zip(out, (lead, salt, role, key, raw), strict=True):
                         column.append(value)
+                    total += len(raw)
+                    if total >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pydict(dict(zip(target.names, out, strict=True)), schema=target)
+                        out, total = [[], [], [], [], []], 0
+    if out[0]:
         yield pa.RecordBatch.from_pydict(dict(zip(target.names, out, strict=True)), schema=target)
 
 
@@ -173,12 +186,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, p
     many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(many, "a").select(F.col("b").alias("key"), F.col("a").alias("lead"), F.pmod(F.hash("b"), "salts").alias("salt"), F.lit(1).alias("role"))
     leaders = many.select(F.col("a").alias("key"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    goals = members.union(leaders).groupBy("key").agg(F.flatten(F.collect_list(F.array(F.col("lead"), F.col("salt").cast("long"), F.col("role").cast("long")))).alias("goals"))
+    goals = members.union(leaders).groupBy("key", F.floor(F.col("salt") / GOALS).alias("nth")).agg(F.flatten(F.collect_list(F.array(F.col("lead"), F.col("salt").cast("long"), F.col("role").cast("long")))).alias("goals"))
     by_doc = stored(goals.join(firsts, "key").select(F.col("doc_id").alias("of_doc"), F.col("null_hash").alias("of_hash"), "key", "goals"), "goals")
     texts = docs.withColumn("null_hash", _null_hash()).join(checked_broadcast(by_doc), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("null_hash") == F.col("of_hash")))
-    sets = texts.select("text", "key", "goals").mapInArrow(lambda b: _sets(b, size), "lead long, salt int, role int, key long, found binary")
+    sets = in_arrow(texts.select("text", "key", "goals"), lambda b: _sets(b, size), "lead long, salt int, role int, key long, found binary")
     sets = sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role", "key")
-    return sets.mapInArrow(lambda b: _compare(b, percent), "a long, b long")
+    return in_arrow(sets, lambda b: _compare(b, percent), "a long, b long")
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -190,13 +203,13 @@ def _links(docs: DataFrame, size: int, percent: int, own: bool) -> tuple[DataFra
     """(doc_id, text_hash, key, n) of each row and links (a, b) of classes, some twice; of those within a group only the
     ones to its leaders unless `own`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    first = stored(docs.mapInArrow(lambda b: _classes(b, size), "kind int, doc_id long, text_hash long, key long, n long"), "classes")
+    first = stored(in_arrow(docs, lambda b: _classes(b, size), "kind int, doc_id long, text_hash long, key long, n long"), "classes")
     nodes = first.where("kind = 0").select("doc_id", "text_hash", "key", "n")
     firsts = nodes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).select("key", "doc_id", _null_hash().alias("null_hash"))
 
     common = first.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(f"n >= {OFTEN}").orderBy(F.desc("n"), "key").limit(MOST_OFTEN)
     often = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in common.select("key").toLocalIterator()], dtype=np.int64).view(np.uint64)))
-    rows = docs.select("text").mapInArrow(lambda b: _prefixes(b, size, percent, often.value), "token long, key long, n int, i int")
+    rows = in_arrow(docs.select("text"), lambda b: _prefixes(b, size, percent, often.value), "token long, key long, n int, i int")
     rows = rows.repartition("token").dropDuplicates(["token", "key"])
     rows = stored(rows.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1").drop("held"), "shared-prefixes")
 
