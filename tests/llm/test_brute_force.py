@@ -75,21 +75,59 @@ def test_token_counts(spark, corpus, empty):
     assert token_counts.counts(empty, default_path()).count() == 0
 
 
-def test_repeats(corpus, empty):
-    docs = [t.encode() for _, t in pairs(corpus)]
-    seen = Counter(d[i : i + 400] for d in docs for i in range(len(d) - 399))
-    expected = []
-    for (doc_id, _), d in zip(pairs(corpus), docs, strict=True):
-        gone = bytearray(len(d))
-        for i in range(len(d) - 399):
-            if seen[d[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+def covered(sequence, window, seen):
+    gone = bytearray(len(sequence))
+    for i in range(len(sequence) - window + 1):
+        if seen[sequence[i : i + window]] > 1:
+            gone[i : i + window] = b"\1" * window
+    return bytes(gone)
+
+
+def plain_removed(texts, window, passage):
+    """Per text: bytes, removed, spans, digest of the rest, words in passages, and the text without both kinds."""
+    docs = [t.encode() for t in texts]
+    words = [tuple(WORD.findall(t)) for t in texts]
+    seen = Counter(d[i : i + window] for d in docs for i in range(len(d) - window + 1))
+    told = Counter(w[i : i + passage] for w in words for i in range(len(w) - passage + 1))
+    out = []
+    for t, d, w in zip(texts, docs, words, strict=True):
+        gone, inside = covered(d, window, seen), covered(w, passage, told)
         kept = bytes(x for x, g in zip(d, gone, strict=True) if not g)
-        expected.append((doc_id, len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    assert rows_of(repeats.removed(corpus), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
+        both, at = bytearray(gone), [(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in WORD.finditer(t)]
+        for m in re.finditer(b"\1+", inside):
+            first, last = at[m.start()][0], at[m.end() - 1][1]
+            both[first:last] = b"\1" * (last - first)
+        rest = bytes(x for x, g in zip(d, both, strict=True) if not g).decode("utf-8", "ignore")
+        out.append(((len(d), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest(), sum(inside)), rest))
+    return out
+
+
+def test_repeats(corpus, empty):
+    expected = [(d, *found) for (d, _), (found, _) in zip(pairs(corpus), plain_removed([t for _, t in pairs(corpus)], 400, 50), strict=True)]
+    assert rows_of(repeats.removed(corpus), "doc_id", *repeats.ADDED) == sorted(expected, key=repr)
+    assert any(f[2] == 0 and f[5] > 0 for f in expected) and any(f[2] > 0 for f in expected)
     assert repeats.removed(empty).count() == 0
 
 
+def test_repeats_with_a_common_core_and_long_texts_in_parts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "ENTRIES", 2)
+    docs = corpus.where("doc_id >= 1000").select("doc_id", "text")
+    expected = [(d, *found) for (d, _), (found, _) in zip(pairs(docs), plain_removed([t for _, t in pairs(docs)], 60, 20), strict=True)]
+    assert rows_of(repeats.removed(docs, 60, 32, 20), "doc_id", *repeats.ADDED) == sorted(expected, key=repr)
+    r = random.Random(8)
+    texts = [bytes(r.choices(b"abcdefgh", k=n)) for n in (3000, 50, 900)]
+    texts.append(texts[0][100:2900])
+    for unit, window, span in ((1, 40, 16), (8, 20, 8)):
+        raw = [t if unit == 1 else b"".join(b"%08d" % x for x in t) for t in texts]
+        monkeypatch.setattr(repeats, "PARSE_BYTES", 500 * unit)
+        starts = []
+        for group in repeats._parts(raw, window, unit):
+            text, lo, n, at = repeats.parse([x for _, _, x in group], window, span, unit)
+            assert ((lo <= at) & (at < lo + n - 1 + span)).all()
+            starts += [(group[t][0], group[t][1] + a + i) for t, a, k in zip(text.tolist(), lo.tolist(), n.tolist(), strict=True) for i in range(k)]
+        assert sorted(starts) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - window + 1)]
+
+
 def test_quality(corpus, empty):
     expected = []
     for doc_id, t in pairs(corpus):
