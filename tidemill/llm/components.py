@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,8 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         above = labels.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
         jumped = moved.join(above, F.col("label") == F.col("up")).select("node", "was", F.least("label", "up_label").alias("label"))
-        now = stored(jumped, "labels")
+        now = stored(jumped, "labels", done=[labels])
         changed = now.where("label != was").limit(1).count()
         labels = now.select("node", "label")
+        labels._scratch = now._scratch
         if not changed:
+            discard(both)
             return labels

@@ -223,12 +223,13 @@ def _links(docs: DataFrame, size: int, percent: int, own: bool) -> tuple[DataFra
     pairs = pairs.groupBy("a", "b", "n").count().where("100 * count >= n")  # a twentieth of the prefix; what is missed here the matrix finds
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     pairs = pairs.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select("a", "b")
-    links = stored(_verified(stored(pairs, "leader-pairs"), docs, firsts, size, percent), "leader-links")
+    pairs = stored(pairs, "leader-pairs")
+    links = stored(_verified(pairs, docs, firsts, size, percent), "leader-links", done=[pairs])
     groups = components(links)
 
     # The matrix: groups by early shingle of a member; classes ask for the other groups that share one of their prefix's.
     grouped = rows.join(groups, F.col("key") == F.col("node"), "left").select("token", "key", "n", "i", F.coalesce("label", "key").alias("group"))
-    grouped = stored(grouped, "grouped")
+    grouped = stored(grouped, "grouped", done=[rows, groups])
     early = grouped.where(_needed(F.col("n"), F.col("n"), percent) <= F.col("n") - F.col("i"))
     matrix = early.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("i")).alias("rest"))
     least = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
@@ -238,8 +239,9 @@ def _links(docs: DataFrame, size: int, percent: int, own: bool) -> tuple[DataFra
     can = (F.col("key") != F.col("a")) & (F.col("n") <= F.col("m")) & (_needed(F.col("n"), F.col("m"), percent) <= F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")))
     found = asked.join(members, (F.col("token") == F.col("of")) & (F.col("other") == F.col("within")) & can)
     found = found.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-    more = _verified(stored(found, "group-pairs"), docs, firsts, size, percent)
-    return nodes, links.union(stored(more, "group-links"))
+    found = stored(found, "group-pairs", done=[grouped])
+    more = _verified(found, docs, firsts, size, percent)
+    return nodes, links.union(stored(more, "group-links", done=[found]))
 
 
 def pairs(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -260,4 +262,5 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, by_text: b
     labels = components(links)
     own = nodes.join(labels, F.col("key") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label"), "n")
     least = own.where("label IS NOT NULL").groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("least"))
+    least = stored(least, "least")  # read from a file of its own, so that the join can split a very large group
     return own.join(least, F.col("label") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *["text_hash"] * by_text)
