@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte of a string of 400 bytes that stands twice goes; n_chars is of what is left."""
-    return repeats.removed(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Every byte of a string of 400 bytes, and of a passage of 50 words, that stands twice goes; n_chars is of what is left."""
+    return repeats.removed(docs.select(*COLUMNS), cut_passages=True).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
