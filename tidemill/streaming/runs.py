@@ -16,18 +16,30 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(f"{path}*")
 
 
+#: Holds state beyond memory; transformWithState needs it.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def run_all(df: DataFrame, name: str, mode: str = "append", write: Callable[[str], sinks.Write] = sinks.append, one_batch: bool = False) -> DataFrame:
     """Runs a stream until its source is used up; the rows of all its batches, with the batch's number as `batch`.
 
-    With `one_batch` a single batch takes all: state in processing time asks for further batches without end."""
+    With `one_batch` a single batch takes all: state in processing time asks for further batches without end.
+    The session's state store is RocksDB while the stream runs."""
     spark = df.sparkSession
     path = sinks.shared_folder(spark, name)
     spark.createDataFrame([], df.schema).write.parquet(f"{path}/out/batch=-1")
-    q = df.writeStream.outputMode(mode).foreachBatch(write(f"{path}/out")).option("checkpointLocation", f"{path}/progress").trigger(**({"once": True} if one_batch else {"availableNow": True})).start()
+    own = {k: spark.conf.get(k) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
-        q.awaitTermination()
+        q = df.writeStream.outputMode(mode).foreachBatch(write(f"{path}/out")).option("checkpointLocation", f"{path}/progress").trigger(**({"once": True} if one_batch else {"availableNow": True})).start()
+        try:
+            q.awaitTermination()
+        finally:
+            q.stop()
     finally:
-        q.stop()
+        for k, v in own.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema.add("batch", "long")).parquet(f"{path}/out")
 
 
