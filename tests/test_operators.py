@@ -83,3 +83,17 @@ def test_velocity_forgets_and_keeps_stale_timers():
     stale.add(row(100, 60))
     stale.advance(181)
     assert stale.add(row(182, 60)) is None
+
+
+def test_max_before_equals_one_window(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from tidemill.operators import windows
+
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([None, *range(50)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i long, v int")
+    plain = df.withColumn("m", F.max("v").over(Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)))
+    key = lambda x: [tuple(y) for y in x.select("k", "i", "v", "m").orderBy("i").collect()]
+    assert key(windows.max_before(df, "k", "i", "v", "m", 30)) == key(plain)

@@ -60,3 +60,59 @@ def test_sink_checks_and_secrets(spark, tmp_path):
     assert sinks.warehouse_url("acc", url="jdbc:x") == "jdbc:x" and sinks.warehouse_url("acc", db="d").endswith("?db=d")
     (tmp_path / "s").write_text("hidden\n")
     assert sinks.secret("TOKEN", {"TOKEN_FILE": str(tmp_path / "s")}) == "hidden"
+
+
+def test_match_recognize_by_brute_force(spark):
+    """Incremental matching against matching with all rows at hand, and SQL's nulls in conditions."""
+    import random
+
+    from tidemill.operators.patterns import Incremental
+    from tidemill.plans import match_sql
+
+    r = random.Random(3)
+    for text in ("a b{2,}?", "a+ b", "a b? c", "a{1,2} b{2}", "a* b"):
+        defines = {"a": match_sql.Condition("a.v <= 5 OR a.v IS NULL"), "b": match_sql.Condition("b.v > COALESCE(LAST(b.v, 1), LAST(a.v), 0)"), "c": match_sql.Condition("NOT c.v = 3")}
+        found = match_sql.pattern(text, defines, 30.0)
+        for _ in range(60):
+            rows, t = [], 0.0
+            for i in range(r.randint(0, 25)):
+                t += r.choice([0, 1, 5, 12])
+                rows.append({"id": i, "v": r.choice([None, 1, 3, 5, 7, 9]), "_t": t})
+            rule, got = Incremental(found), []
+            for row in rows:
+                got += rule.add(row)
+            got += rule.finish()
+            assert got == list(found.matches(rows)), (text, rows)
+
+
+@pytest.mark.parametrize(("sql", "expected"), [("1 + 2 * 3 = 7", True), ("NULL = NULL", False), ("NULL IS NULL AND NOT FALSE", True), ("NULL OR TRUE", True), ("NOT (NULL AND TRUE)", False), ("'it''s' <> 'x'", True), ("ABS(-2) >= 2", True), ("4 / 0 IS NULL", True)])
+def test_conditions(sql, expected):
+    from tidemill.plans.match_sql import Condition
+
+    assert Condition(sql)(lambda leaf: None) is expected
+
+
+def test_conditions_that_are_not_understood():
+    from tidemill.plans.match_sql import Condition
+
+    for sql in ("a.b LIKE 'x'", "1 +", "FOO(1) = 1", "a.b ? 1"):
+        with pytest.raises((ValueError, IndexError)):
+            Condition(sql)
+
+
+def test_script_with_patterns_and_a_database(spark, tmp_path):
+    from tidemill.sources import jdbc
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    t0 = dt.datetime(2026, 1, 1, 10)
+    rows = [(f"t{i}", "a1", float(v), t0 + dt.timedelta(seconds=20 * i)) for i, v in enumerate([1, 30, 90, 2, 50])]
+    spark.createDataFrame(rows, "txn_id string, account_id string, amount double, event_time timestamp").write.parquet(f"{tmp_path}/txn")
+    jdbc.execute(spark, url, 'CREATE TABLE bands ("account_id" VARCHAR(20), "band" VARCHAR(20))', "INSERT INTO bands VALUES ('a1', 'HIGH')", 'CREATE TABLE alerts ("account_id" VARCHAR(20) PRIMARY KEY, "band" VARCHAR(20), "hops" BIGINT)', "INSERT INTO alerts VALUES ('a1', 'OLD', 0)")
+    text = """
+    CREATE TABLE transactions (txn_id STRING, account_id STRING, amount DOUBLE, event_time TIMESTAMP(3)) WITH ('connector' = 'filesystem', 'path' = '${DIR}/txn');
+    CREATE TABLE bands (account_id STRING, band STRING) WITH ('connector' = 'jdbc', 'url' = '${URL}', 'table-name' = 'bands');
+    CREATE TABLE alerts (account_id STRING, band STRING, hops BIGINT, PRIMARY KEY (account_id) NOT ENFORCED) WITH ('connector' = 'jdbc', 'url' = '${URL}', 'table-name' = 'alerts', 'mode' = 'sink');
+    INSERT INTO alerts SELECT m.account_id, b.band, m.hops FROM (SELECT account_id, hops FROM transactions MATCH_RECOGNIZE (PARTITION BY account_id ORDER BY event_time MEASURES COUNT(up.txn_id) AS hops ONE ROW PER MATCH AFTER MATCH SKIP PAST LAST ROW PATTERN (probe up{2,}?) WITHIN INTERVAL '1' MINUTE DEFINE probe AS probe.amount <= 5.00, up AS up.amount > COALESCE(LAST(up.amount, 1), LAST(probe.amount)))) AS m JOIN bands AS b ON m.account_id = b.account_id;
+    """
+    out = Script(spark).run(text, {"DIR": str(tmp_path), "URL": url})["alerts"]
+    assert [tuple(r) for r in out.collect()] == [("a1", "HIGH", 2)]

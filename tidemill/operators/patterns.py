@@ -30,6 +30,10 @@ class Step:
     reluctant: bool = False
 
 
+class More(Exception):
+    """Rows that haven't come decide."""
+
+
 class StrictPattern:
     """Contiguous rows, one match at a time, the next one searched past the last row."""
 
@@ -45,7 +49,8 @@ class StrictPattern:
         span = row[self.time] - first[self.time]
         return span <= self.within if self.inclusive else span < self.within
 
-    def _match(self, rows: Sequence[Row], start: int, step: int, taken: dict[str, list[Row]], at: int) -> tuple[int, dict[str, list[Row]]] | None:
+    def _match(self, rows: Sequence[Row], start: int, step: int, taken: dict[str, list[Row]], at: int, closed: bool = True) -> tuple[int, dict[str, list[Row]]] | None:
+        """The end and rows of the match from `start`; with rows still to come (not `closed`), More if these decide."""
         if step == len(self.steps):
             return at, taken
         s = self.steps[step]
@@ -53,17 +58,19 @@ class StrictPattern:
         here = at
         states = [(here, own)] if s.least == 0 else []
         while s.most is None or len(own) < s.most:
+            if here >= len(rows) and not closed:
+                raise More
             if here >= len(rows) or not self._fits(rows[start], rows[here]) or not s.condition(rows[here], taken | {s.name: own}):
                 break
             own = [*own, rows[here]]
             here += 1
             if len(own) >= s.least:
                 states.append((here, own))
-                if s.reluctant and (done := self._match(rows, start, step + 1, taken | {s.name: own}, here)):
+                if s.reluctant and (done := self._match(rows, start, step + 1, taken | {s.name: own}, here, closed)):
                     return done
         if not s.reluctant:
             for here, own in reversed(states):
-                if done := self._match(rows, start, step + 1, taken | {s.name: own}, here):
+                if done := self._match(rows, start, step + 1, taken | {s.name: own}, here, closed):
                     return done
         return found or None
 
@@ -78,6 +85,34 @@ class StrictPattern:
                 at += 1
 
 
+class Incremental:
+    """A strict pattern over one key's rows as they come: what is held is the one match that is still open."""
+
+    def __init__(self, pattern: StrictPattern):
+        self.pattern, self.rows = pattern, []
+
+    def _drain(self, closed: bool) -> list[dict[str, list[Row]]]:
+        out = []
+        while self.rows:
+            try:
+                found = self.pattern._match(self.rows, 0, 0, {}, 0, closed)
+            except More:
+                break
+            if found and found[0]:
+                out.append(found[1])
+            del self.rows[: found[0] if found and found[0] else 1]
+        return out
+
+    def add(self, row: Row) -> list[dict[str, list[Row]]]:
+        """The matches that this row decides."""
+        self.rows.append(row)
+        return self._drain(False)
+
+    def finish(self) -> list[dict[str, list[Row]]]:
+        """The matches that are left when no more rows come."""
+        return self._drain(True)
+
+
 @dataclass
 class EscalatingSpend:
     """A probe, then escalations with any rows between (relaxed contiguity): every run of `least` or more escalations, each

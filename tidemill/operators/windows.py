@@ -49,3 +49,18 @@ def top_n_streaming(df: DataFrame, window: str, value: str, key: str, n: int) ->
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def max_before(df: DataFrame, key: str, order: str, value: str, out: str, rows: int = 1_000_000) -> DataFrame:
+    """Adds `out`: the largest `value` of the key's rows before this one by `order`, a whole number; null for the first.
+
+    A key's rows are dealt by ranges of `rows` of that number, so no task holds a hot key whole: one maximum a range is
+    carried forward, and the rows of a range go on from it."""
+    nth = F.floor(F.col(order) / rows)
+    ends = df.groupBy(key, nth.alias("_part")).agg(F.max(value).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select(F.col(key).alias("_of"), F.col("_part").alias("_at"), F.max("_end").over(earlier).alias("_head"))
+    within = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = df.withColumn("_part", nth).withColumn("_own", F.max(value).over(within))
+    found = own.join(heads, F.col(key).eqNullSafe(F.col("_of")) & F.col("_part").eqNullSafe(F.col("_at")), "left")
+    return found.withColumn(out, F.greatest("_own", "_head")).drop("_part", "_own", "_of", "_at", "_head")

@@ -150,10 +150,13 @@ def expr_murmur2_shard(spark, d):
 
 # Joins
 
+#: Seconds of event time that an as-of join deals to a task at most of one key.
+SLICE = 86_400
+
 
 @query("SELECT t.txn_id, v.band, coalesce(epoch_us(v.since), -1) AS since FROM txn t ASOF LEFT JOIN version v ON t.account_id = v.account_id AND t.event_time >= v.since")
 def join_temporal_asof_left(spark, d):
-    found = J.asof_left(transactions(spark, d).select("txn_id", "account_id", "event_time"), account_versions(spark, d), "account_id", "event_time", "since", ["band"])
+    found = J.asof_left(transactions(spark, d).select("txn_id", "account_id", "event_time"), account_versions(spark, d), "account_id", "event_time", "since", ["band"], SLICE)
     return found.select("txn_id", "band", F.coalesce(us("version_time"), F.lit(-1)).alias("since"))
 
 
@@ -161,7 +164,7 @@ def join_temporal_asof_left(spark, d):
 def fx_normalized(spark, d):
     t = transactions(spark, d).withColumn("currency", F.col("merchant_id") % 7)
     rates = t.where("channel = 'error'").groupBy("currency", F.col("event_time").alias("at")).agg(F.max(F.col("amount").cast("decimal(12,6)")).alias("rate"))
-    found = J.asof_left(t.select("txn_id", "currency", "amount", "event_time"), rates, "currency", "event_time", "at", ["rate"])
+    found = J.asof_left(t.select("txn_id", "currency", "amount", "event_time"), rates, "currency", "event_time", "at", ["rate"], SLICE)
     rate = F.coalesce("rate", F.lit(1).cast("decimal(12,6)"))
     return found.select("txn_id", dbl(F.col("amount")).alias("amount"), dbl((F.col("amount") * rate).cast("decimal(18,6)")).alias("amount_usd"), F.coalesce(us("version_time"), F.lit(-1)).alias("rate_as_of"))
 
@@ -362,13 +365,16 @@ def seed_series(spark, d):
 # Patterns
 
 
-@query("""SELECT account_id, first_txn_id, last_txn_id, CAST(2 AS BIGINT) AS hop_count, total_usd, span_us FROM (
+CARD_TESTING = """SELECT account_id, first_txn_id, last_txn_id, CAST(2 AS BIGINT) AS hop_count, total_usd, span_us FROM (
   WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY event_time, txn_id) AS rn FROM txn),
   c AS (SELECT a.account_id, a.rn, a.txn_id AS first_txn_id, e2.txn_id AS last_txn_id, CAST(a.amount + e1.amount + e2.amount AS DOUBLE) AS total_usd, CAST(epoch_us(e2.event_time) - epoch_us(a.event_time) AS BIGINT) AS span_us
     FROM n a JOIN n e1 ON a.account_id = e1.account_id AND e1.rn = a.rn + 1 JOIN n e2 ON a.account_id = e2.account_id AND e2.rn = a.rn + 2
     WHERE a.amount <= 20 AND e1.amount > a.amount AND e2.amount > e1.amount AND e2.event_time < a.event_time + INTERVAL '4 days'),
   pick AS (SELECT account_id, min(rn) AS rn FROM c GROUP BY 1 UNION ALL SELECT p.account_id, (SELECT min(c.rn) FROM c WHERE c.account_id = p.account_id AND c.rn >= p.rn + 3) FROM pick p WHERE EXISTS (SELECT 1 FROM c WHERE c.account_id = p.account_id AND c.rn >= p.rn + 3))
-  SELECT c.* FROM c JOIN pick USING (account_id, rn))""")
+  SELECT c.* FROM c JOIN pick USING (account_id, rn))"""
+
+
+@query(CARD_TESTING)
 def mr_card_testing(spark, d):
     from pyspark.sql.window import Window
 
@@ -382,12 +388,15 @@ def mr_card_testing(spark, d):
     return found.select("account_id", F.col("txn_id").alias("first_txn_id"), F.col("i2").alias("last_txn_id"), F.lit(2).cast("bigint").alias("hop_count"), dbl(F.col("amount") + F.col("a1") + F.col("a2")).alias("total_usd"), (us("t2") - us("event_time")).alias("span_us"))
 
 
-@query("""SELECT account_id, first_txn_id, last_txn_id, total_usd FROM (
+IMPOSSIBLE_TRAVEL = """SELECT account_id, first_txn_id, last_txn_id, total_usd FROM (
   WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY event_time, txn_id) AS rn FROM txn WHERE channel = 'purchase'),
   c AS (SELECT a.account_id, a.rn, a.txn_id AS first_txn_id, b.txn_id AS last_txn_id, CAST(a.amount + b.amount AS DOUBLE) AS total_usd
     FROM n a JOIN n b ON a.account_id = b.account_id AND b.rn = a.rn + 1 WHERE abs(b.txn_id % 180 - a.txn_id % 180) > 20 AND b.event_time < a.event_time + INTERVAL '2 days'),
   pick AS (SELECT account_id, min(rn) AS rn FROM c GROUP BY 1 UNION ALL SELECT p.account_id, (SELECT min(c.rn) FROM c WHERE c.account_id = p.account_id AND c.rn >= p.rn + 2) FROM pick p WHERE EXISTS (SELECT 1 FROM c WHERE c.account_id = p.account_id AND c.rn >= p.rn + 2))
-  SELECT c.* FROM c JOIN pick USING (account_id, rn))""")
+  SELECT c.* FROM c JOIN pick USING (account_id, rn))"""
+
+
+@query(IMPOSSIBLE_TRAVEL)
 def mr_impossible_travel(spark, d):
     """Positions lie on one meridian, a degree (111.19 km) for each of txn_id % 180."""
     from pyspark.sql.window import Window
@@ -458,11 +467,8 @@ LATE = """SELECT txn_id, 'LATE_EVENT' AS reason, 'TumblingWindow(1d)' AS stage F
 @query(LATE)
 def late_side_output(spark, d):
     """Rows whose window, with ten seconds' lateness, had closed at their shard's watermark (five seconds behind)."""
-    from pyspark.sql.window import Window
-
     shifted = F.when(F.col("txn_id") % 10 == 0, F.col("event_time") - F.expr("INTERVAL 2 DAYS")).otherwise(F.col("event_time"))
-    before = Window.partitionBy("shard_id").orderBy("txn_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = transactions(spark, d).select("txn_id", "shard_id", shifted.alias("at")).withColumn("seen", F.max("at").over(before))
+    t = W.max_before(transactions(spark, d).select("txn_id", "shard_id", shifted.alias("at")), "shard_id", "txn_id", "at", "seen")
     late = F.window("at", "1 day")["end"] + F.expr("INTERVAL 10 SECONDS") <= F.col("seen") - F.expr("INTERVAL 5 SECONDS")
     return t.where(late).select("txn_id", F.lit("LATE_EVENT").alias("reason"), F.lit("TumblingWindow(1d)").alias("stage"))
 
@@ -473,7 +479,7 @@ def enriched_transactions(spark, d):
     t = transactions(spark, d)
     auths = t.where("channel = 'view'").select("account_id", F.col("txn_id").alias("auth_id"), F.col("event_time").alias("auth_time"))
     found = J.interval(t.where("channel = 'purchase'").select("txn_id", "account_id", "event_time"), auths, "account_id", "event_time", "auth_time", "-2 HOUR", "45 HOUR")
-    found = J.asof_left(found, account_versions(spark, d), "account_id", "event_time", "since", ["band"])
+    found = J.asof_left(found, account_versions(spark, d), "account_id", "event_time", "since", ["band"], SLICE)
     return J.lookup(found, accounts(spark, d), "account_id").select("txn_id", "auth_id", F.coalesce("band", F.lit("UNKNOWN")).alias("band"), F.coalesce("region", F.lit("UNKNOWN")).alias("region"))
 
 

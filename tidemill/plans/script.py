@@ -1,8 +1,9 @@
 """SQL scripts: variables, statements, and the run of a script as one job.
 
-CREATE TABLE ... WITH names a source or sink: connector 'filesystem' with path and format. SELECT bodies are Spark SQL,
-after three rewrites: TABLE(TUMBLE/HOP/CUMULATE(...)) becomes a window join, FOR SYSTEM_TIME AS OF an as-of join done
-beforehand, and INSERTs that read one view share its result.
+CREATE TABLE ... WITH names a source or sink: connector 'filesystem' with path and format, or 'jdbc' with url and
+table-name (a sink with a PRIMARY KEY takes upserts). SELECT bodies are Spark SQL, after four rewrites:
+TABLE(TUMBLE/HOP/CUMULATE(...)) becomes a window join, FOR SYSTEM_TIME AS OF an as-of join done beforehand,
+MATCH_RECOGNIZE(...) the matches of a strict pattern, and INSERTs that read one view share its result.
 """
 
 from __future__ import annotations
@@ -10,13 +11,17 @@ from __future__ import annotations
 import logging
 import os
 import re
+import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.functions.expressions import register
 from tidemill.operators import joins, windows
+from tidemill.plans import match_sql
+from tidemill.sources import jdbc
 
 LOG = logging.getLogger(__name__)
 VARIABLE = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}")
@@ -79,6 +84,8 @@ class Script:
     spark: SparkSession
     tables: dict[str, Table] = field(default_factory=dict)
     inserts: list[tuple[str, str]] = field(default_factory=list)
+    #: Primary keys.
+    keys: dict[str, list[str]] = field(default_factory=dict)
     #: Versioned tables: key and time columns, for FOR SYSTEM_TIME AS OF.
     versions: dict[str, tuple[str, str]] = field(default_factory=dict)
 
@@ -95,6 +102,8 @@ class Script:
         if m := SETTING.fullmatch(sql):
             if m[1] in SETTINGS:
                 self.spark.conf.set(SETTINGS[m[1]], m[2])
+            else:
+                LOG.warning("setting %s has no counterpart here and is passed over", m[1])
         elif m := TABLE.fullmatch(sql):
             self._table(m)
         elif m := VIEW.fullmatch(sql):
@@ -103,6 +112,7 @@ class Script:
             self.inserts.append((m[1].strip("`"), m[2]))
         elif re.match(r"SELECT\b|WITH\b", sql, re.I):
             LOG.warning("the result of a SELECT in a script is not shown: %s", sql[:80])
+            self.query(sql).write.format("noop").mode("overwrite").save()
         else:
             self.spark.sql(sql)
 
@@ -117,14 +127,30 @@ class Script:
         self.tables[name] = table
         if keys and mark:
             self.versions[name] = (keys[1].strip(), mark[1])
+        if keys:
+            self.keys[name] = [k.strip().strip("`") for k in keys[1].split(",")]
         path = table.properties.get("path")
+        if table.properties.get("connector") == "jdbc":
+            if table.properties.get("mode", "source") == "source":
+                jdbc.read(self.spark, table.properties["url"], table.properties["table-name"]).createOrReplaceTempView(name)
+            return
         if table.properties.get("connector") != "filesystem" or not path:
-            raise ValueError(f"table {name}: only 'connector' = 'filesystem' with a path can be opened here")
+            raise ValueError(f"table {name}: 'connector' = 'filesystem' with a path, or 'jdbc' with url and table-name, can be opened here")
         if table.properties.get("mode", "source") == "source":
             self.spark.read.schema(table.columns).format(table.properties.get("format", "parquet")).load(path).createOrReplaceTempView(name)
 
     def query(self, sql: str) -> DataFrame:
         """A SELECT after the rewrites."""
+        while m := re.search(r"\bMATCH_RECOGNIZE\s*\(", sql, re.I):
+            end, before = match_sql.closing(sql, m.end() - 1), sql[: m.start()].rstrip()
+            if before.endswith(")"):
+                start = next(i for i in range(len(before) - 1, -1, -1) if before[i] == "(" and match_sql.closing(before, i) == len(before) - 1)
+                rows = self.query(before[start + 1 : -1].strip())
+            else:
+                start = re.search(r"[\w.`]+$", before).start()
+                rows = self.spark.table(before[start:])
+            match_sql.recognize(rows, sql[m.end() : end]).createOrReplaceTempView(view := f"_match_{uuid.uuid4().hex}")
+            sql = f"{before[:start]} {view}{sql[end + 1 :]}"
         for n, m in enumerate(list(TVF.finditer(sql))):
             kind, name, time, size, unit, other, other_unit = m.groups()
             first, second = int(size) * SECONDS[unit.lower()], int(other or 0) * SECONDS[(other_unit or unit).lower()]
@@ -137,19 +163,31 @@ class Script:
                 df = windows.cumulate(df, time, first, second)
             windows.bounds(df).createOrReplaceTempView(view := f"_window_{name}_{n}_{abs(hash(m[0])) % 10**8}")
             sql = sql.replace(m[0], view)
-        if m := ASOF.search(sql):
+        while m := ASOF.search(sql):
             facts, alias, name, time, other, key, _ = m.groups()
             _, since = self.versions[name]
             versions = self.spark.table(name)
             take = [c for c in versions.columns if c not in (key, since)]
             prefixed = versions.select(key, since, *[versions[c].alias(f"_{other}_{c}") for c in take])
             found = joins.asof_left(self.spark.table(facts), prefixed, key, time, since, [f"_{other}_{c}" for c in take])
-            found.createOrReplaceTempView(view := f"_asof_{facts}_{name}")
+            found.createOrReplaceTempView(view := f"_asof_{facts}_{name}_{uuid.uuid4().hex}")
             sql = sql.replace(m[0], f"FROM {view} AS {alias}")
             sql = re.sub(rf"\b{other}\.{since}\b", f"{alias}.version_time", sql)
             sql = re.sub(rf"\b{other}\.(\w+)", rf"{alias}._{other}_\1", sql)
         return self.spark.sql(sql)
 
+    def _to_database(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows replace those of equal primary key (a key twice in one INSERT: the greatest row); without one they are
+        added."""
+        url, target = (self.tables[name].properties[k] for k in ("url", "table-name"))
+        if keys := self.keys.get(name):
+            kind = self.tables[name].properties.get("staging.string-type", "VARCHAR(4000)")
+            strings = ", ".join(f"`{c}` {kind}" for c, t in df.dtypes if t == "string")
+            jdbc.upsert(url, target, keys, "_order", **({"createTableColumnTypes": strings} if strings else {}))(df.withColumn("_order", F.struct(*df.columns)), 0)
+        else:
+            df.write.format("jdbc").options(url=url, dbtable=target).mode("append").save()
+        return jdbc.read(self.spark, url, target)
+
     def _write(self) -> Iterator[tuple[str, DataFrame]]:
         """All INSERTs; a view that several of them read is computed once."""
         used = [set(re.findall(r"\bFROM\s+(\w+)", sql, re.I)) for _, sql in self.inserts]
@@ -160,6 +198,9 @@ class Script:
             for name, sql in self.inserts:
                 table = self.tables[name]
                 df = self.query(sql)
+                if table.properties["connector"] == "jdbc":
+                    yield name, self._to_database(name, df)
+                    continue
                 writer = df.write.mode("append").format(table.properties.get("format", "parquet"))
                 (writer.partitionBy(*table.partitions) if table.partitions else writer).save(table.properties["path"])
                 yield name, self.spark.read.format(table.properties.get("format", "parquet")).load(table.properties["path"])

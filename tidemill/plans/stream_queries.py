@@ -83,9 +83,8 @@ def late_allowed(spark, d):
     from tidemill.sources.tables import transactions
 
     shifted = F.when(F.col("txn_id") % 10 == 0, F.col("event_time") - F.expr("INTERVAL 2 DAYS")).otherwise(F.col("event_time"))
-    before = Window.partitionBy("shard_id").orderBy("txn_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = transactions(spark, d).select("txn_id", "shard_id", "amount", shifted.alias("at"))
-    t = t.withColumn("mark", F.max("at").over(before) - F.expr("INTERVAL 5 SECONDS")).withColumn("window", F.window("at", "1 day"))
+    t = W.max_before(transactions(spark, d).select("txn_id", "shard_id", "amount", shifted.alias("at")), "shard_id", "txn_id", "at", "seen")
+    t = t.withColumn("mark", F.col("seen") - F.expr("INTERVAL 5 SECONDS")).withColumn("window", F.window("at", "1 day"))
     t = t.where("mark IS NULL OR window.end + INTERVAL 5 DAYS > mark").withColumn("behind", F.coalesce(F.expr("window.end <= mark"), F.lit(False)))
     running = Window.partitionBy("shard_id", "window").orderBy("txn_id").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumns({"n": F.count("*").over(running), "total": dbl(F.sum("amount").over(running).cast("decimal(14,2)"))})

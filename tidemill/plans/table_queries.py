@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import expressions as X
 from tidemill.operators import joins as J
 from tidemill.operators import patterns as P
-from tidemill.plans.registry import ORACLE_SQL, QUERIES, TOTAL, TUMBLE, dbl, query, total, us, win_tumble_ds
+from tidemill.plans.registry import CARD_TESTING, IMPOSSIBLE_TRAVEL, ORACLE_SQL, QUERIES, TOTAL, TUMBLE, dbl, query, total, us, win_tumble_ds
 from tidemill.plans.script import Script
 from tidemill.sources import avro, broker, sinks
 from tidemill.sources.tables import account_versions, accounts, generated, table, transactions
@@ -225,22 +225,59 @@ def mr_reluctant_ok(spark, d):
     steps = [P.Step("a", lambda r, _: True), P.Step("b", lambda r, m: r["amount"] > (m["b"] or m["a"])[-1]["amount"], 2, None, True)]
 
     def start():
-        found = P.StrictPattern(steps)
-        held: list = []
-
-        def step(r):
-            held.append(r)
-            out = [{"account_id": r["account_id"], "first_txn_id": m["a"][0]["id"], "last_txn_id": m["b"][-1]["id"], "hop_count": len(m["b"])} for m in found.matches(held)]
-            if out:
-                held.clear()
-            return out
-
-        return step
+        found = P.Incremental(P.StrictPattern(steps))
+        return lambda r: [{"account_id": r["account_id"], "first_txn_id": m["a"][0]["id"], "last_txn_id": m["b"][-1]["id"], "hop_count": len(m["b"])} for m in found.add(r)]
 
     rows = _test_rows(spark).select("account_id", F.col("txn_id").alias("id"), dbl(F.col("amount")).alias("amount"), us("event_time").alias("t"))
     return P.per_key(rows, "account_id", ["t", "id"], start, "account_id string, first_txn_id string, last_txn_id string, hop_count long")
 
 
+MATCH_CARD = """SELECT account_id, first_txn_id, last_txn_id, hop_count, CAST(total_usd AS DOUBLE) AS total_usd, span_us FROM rows_in MATCH_RECOGNIZE (
+  PARTITION BY account_id
+  ORDER BY event_time, txn_id
+  MEASURES FIRST(probe.txn_id) AS first_txn_id, LAST(up.txn_id) AS last_txn_id, COUNT(up.txn_id) AS hop_count,
+    CAST(SUM(up.amount) + FIRST(probe.amount) AS DECIMAL(14, 2)) AS total_usd,
+    TIMESTAMPDIFF(MICROSECOND, FIRST(probe.event_time), LAST(up.event_time)) AS span_us
+  ONE ROW PER MATCH AFTER MATCH SKIP PAST LAST ROW
+  PATTERN (probe up{2,}?) WITHIN INTERVAL '4' DAY
+  DEFINE probe AS probe.amount <= 20.00, up AS up.amount > COALESCE(LAST(up.amount, 1), LAST(probe.amount))
+)"""
+MATCH_TRAVEL = """SELECT account_id, first_txn_id, last_txn_id, CAST(total_usd AS DOUBLE) AS total_usd FROM (SELECT *, txn_id % 180 - 90.0D AS lat FROM rows_in WHERE channel = 'purchase') MATCH_RECOGNIZE (
+  PARTITION BY account_id
+  ORDER BY event_time, txn_id
+  MEASURES here.txn_id AS first_txn_id, there.txn_id AS last_txn_id, CAST(here.amount + there.amount AS DECIMAL(14, 2)) AS total_usd
+  ONE ROW PER MATCH AFTER MATCH SKIP PAST LAST ROW
+  PATTERN (here there) WITHIN INTERVAL '2' DAY
+  DEFINE here AS TRUE, there AS HAVERSINE_KM(here.lat, 0.0, there.lat, 0.0) > 20.5 * 111.19508
+)"""
+
+
+def _matched(spark, d, sql: str):
+    transactions(spark, d).createOrReplaceTempView("rows_in")
+    return Script(spark).query(sql)
+
+
+@query(CARD_TESTING)
+def mr_sql_card_testing(spark, d):
+    """The clause as SQL, over all rows."""
+    return _matched(spark, d, MATCH_CARD)
+
+
+@query(IMPOSSIBLE_TRAVEL)
+def mr_sql_impossible_travel(spark, d):
+    return _matched(spark, d, MATCH_TRAVEL)
+
+
+@query("SELECT 'greedy quantifiers are not allowed on the last variable (up): its match never ends' AS error")
+def mr_greedy_tail_error(spark, d):
+    """A pattern whose last quantifier is greedy is refused before any row is read."""
+    try:
+        _matched(spark, d, MATCH_CARD.replace("{2,}?", "{2,}"))
+    except ValueError as e:
+        return spark.createDataFrame([(str(e),)], "error string")
+    raise AssertionError("the pattern was taken")
+
+
 SCRIPT = """
 SET 'table.local-time-zone' = 'UTC';
 CREATE TABLE orders_in (o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP) WITH ('connector' = 'filesystem', 'path' = '${DIR}/orders.parquet');

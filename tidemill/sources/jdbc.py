@@ -6,6 +6,8 @@ costs its part of the staging table, which is rewritten for every attempt.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +58,14 @@ def upsert(url: str, table: str, keys: list[str], order: str, only: list[str] |
 
     def write(df: DataFrame, batch: int) -> None:
         present = df.dropna(subset=keys)
-        newest = present.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.col(order)).alias("_r")).select("_r.*")
-        staged = f"{table}_stage"
+        columns = [c for c in df.columns if c != "_order"]
+        newest = present.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("_r")).select("_r.*")
+        staged = f"{table}_stage_{uuid.uuid4().hex[:12]}"  # of its own, so that writers don't meet
         newest.write.format("jdbc").options(url=url, dbtable=staged, batchsize=str(rows), **options).mode("overwrite").save()
-        execute(df.sparkSession, url, merge_sql(table, staged, df.columns, keys, only, dialect))
+        try:
+            execute(df.sparkSession, url, merge_sql(table, staged, columns, keys, only, dialect))
+        finally:
+            execute(df.sparkSession, url, f"DROP TABLE {staged}")
 
     return write
 
