@@ -56,12 +56,12 @@ def test_word_ids_equal_the_tokenizer(corpus):
 
 def test_token_counts(spark, corpus, empty):
     vocabulary = ["a", "ab", "abc", "##a", "##b", "##bcd", "##cd", "b", "##"]
-    automaton, plain = token_counts.Automaton(vocabulary), set(vocabulary)
+    automaton, known = token_counts.Automaton(vocabulary), set(vocabulary)
 
     def greedy(word):
         n = at = 0
         while at < len(word):
-            end = next((e for e in range(len(word), at, -1) if (word[at:e] if not at else "##" + word[at:e]) in plain), None)
+            end = next((e for e in range(len(word), at, -1) if (word[at:e] if not at else "##" + word[at:e]) in known), None)
             if end is None:
                 return 0
             n, at = n + 1, end
@@ -71,7 +71,28 @@ def test_token_counts(spark, corpus, empty):
     for _ in range(3000):
         word = "".join(r.choice("abcd") for _ in range(r.randint(1, 8)))
         assert automaton.count(word) == greedy(word), word
-    assert token_counts.counts(corpus, default_path()).count() == corpus.count()
+    vocabulary = set(token_counts.vocabulary_of(default_path()))
+    mark, longest = token_counts.MARK, max(map(len, vocabulary))
+    pieces = {}
+
+    def plain(word):
+        n = at = 0
+        while at < len(word):
+            end = next((e for e in range(min(len(word), at + longest), at, -1) if (word[at:e] if not at else mark + word[at:e]) in vocabulary), None)
+            if end is None:
+                return 0
+            n, at = n + 1, end
+        return n
+
+    expected = []
+    for doc_id, text in pairs(corpus):
+        words = [w.decode() for w in text.lower().encode().split()]
+        for w in words:
+            if w not in pieces:
+                pieces[w] = plain(w)
+        none = sum(pieces[w] == 0 for w in words)
+        expected.append((doc_id, len(words), sum(pieces[w] for w in words) + none, none))
+    assert rows_of(token_counts.counts(corpus, default_path()), "doc_id", "n_words", "n_tokens", "n_unknown") == sorted(expected, key=repr)
     assert token_counts.counts(empty, default_path()).count() == 0
 
 
@@ -234,6 +255,8 @@ def test_toxicity(spark, empty):
     assert all(found[i]["predicted"] == y == (found[i]["score"] >= 0.7) for i, _, y in rows if found[i]["held_out"])
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(y) >= 0).all()
+    assert toxicity.train(docs, docs.select("doc_id", "toxic"), rows=50).known
+    assert toxicity.train(docs, docs.select("doc_id", "toxic"), most_bytes=0).scores(["x"]).tolist() == [0.0]
     none = toxicity.train(empty, empty.selectExpr("doc_id", "1 AS toxic"))
     assert {r["score"] for r in toxicity.scored(docs, none).collect()} == {0.0}
 
@@ -288,11 +311,92 @@ def test_jaccard(corpus, empty):
     assert jaccard.linked(empty).count() == 0
 
 
+def test_toxicity_on_odd_rows(corpus):
+    """Scores of whole texts equal the model's own, whatever the rows; a repeated doc_id is fitted once."""
+    labels = corpus.selectExpr("doc_id", "CAST(text LIKE '%edited%' AS int) AS toxic").union(corpus.selectExpr("doc_id", "NULL"))
+    model = toxicity.train(corpus, labels)
+    expected = []
+    for doc_id, text in pairs(corpus):
+        score = float(model.scores([text])[0])
+        expected.append((doc_id, zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 3 == 1, score, int(score >= 0.7)))
+    assert rows_of(toxicity.scored(corpus, model), "doc_id", "held_out", "score", "predicted") == sorted(expected, key=repr)
+
+
+def test_license_scan_by_brute_force(spark, corpus):
+    """Every template against every block, with plain sets."""
+    r = random.Random(9)
+    templates = [(label, set(text.split())) for label, text in licenses.TEMPLATES]
+    lines = []
+    for _, text in licenses.TEMPLATES:
+        for _ in range(6):
+            words = [w for w in text.split() if r.random() < 0.95] + r.choices(["x", "nc", "sa", "lesser", "3", "2"], k=r.randint(0, 2))
+            r.shuffle(words)
+            lines.append(" ".join(words))
+    texts = ["\n".join(r.choices(["", "plain words here", *lines], k=r.randint(1, 5))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(corpus.select("doc_id", "text"))
+    expected = []
+    for doc_id, text in pairs(docs):
+        folded = re.sub(r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]", " ", text.translate(FOLD))
+        words, held = folded.split(), []
+        for paragraph in re.split(r"\n(?:[ ]*\n)+", folded):
+            rows = [set(line.split()) for line in paragraph.split("\n") if line.split()]
+            held += rows + ([set().union(*rows)] if len(rows) > 1 else [])
+        found, score = set(), 0.0
+        for label, own in templates:
+            siblings = [o for other, o in templates if other != label and len(own & o) >= 0.85 * min(len(own), len(o)) - 1e-9]
+            for block in held:
+                if len(own & block) >= 0.85 * len(own) - 1e-9 and all(own - o <= block for o in siblings) and not any(own <= o and o - own and o - own <= block for o in siblings):
+                    found.add(label)
+                    score = max(score, len(own & block) / len(own))
+        at = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        base = {label for _, label in at}
+        expected.append((doc_id, len(words), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted(base)), ",".join(sorted(base | found)), round(1.0 if at else score, 9)))
+    got = [(*x[:-1], round(x[-1], 9)) for x in rows_of(licenses.scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_pipeline(spark, corpus, empty):
+    """Each stage's rows against a plain version on the same input; the verdicts of the first against the operator's."""
     import corpus_pipeline
 
-    for docs in (corpus, empty):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, "")
-            assert docs.columns == list(corpus_pipeline.COLUMNS)
-        corpus_pipeline.STAGES[-1][1](spark, docs, "").count()
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: Counter((r["doc_id"], r["text"] or "") for r in df.collect())
+    kept = stages["quality rules"](spark, corpus, "")
+    assert texts(kept) == texts(corpus.join(quality.quality(corpus).where("kept").select("doc_id").distinct(), "doc_id"))
+
+    near = stages["n-gram Jaccard join"](spark, corpus, "").cache()
+    docs = pairs(corpus)
+    sets = []
+    for _, t in docs:
+        w = WORD.findall(t.translate(FOLD))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for g, (d, _) in zip(group, docs, strict=True):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    stay = {(d, t) for g, (d, t) in zip(group, docs, strict=True) if d is not None and least[g] == d}
+    assert texts(near) == Counter(stay) + Counter((d, t) for d, t in docs if d is None)
+
+    cut = stages["suffix-array dedup"](spark, corpus, "")
+    assert texts(cut) == Counter((d, rest) for (d, t), (_, rest) in zip(docs, plain_removed([t for _, t in docs], 400, 50), strict=True))
+    assert all(r["n_chars"] == len(r["text"]) for r in cut.collect())
+
+    mixed = stages["mixing sources to target weights"](spark, corpus, "")
+    wanted = Counter()
+    for r in mixing.copies(corpus).collect():
+        wanted[(r["doc_id"], r["text"] or "")] += r["n_copies"]
+    assert texts(mixed) == +wanted
+
+    encoder = WordIds(default_path())
+    packed = stages["packing"](spark, corpus, "").collect()
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in packed if r["start"] == 0) == Counter((d, len(raw) // 4 + 1) for (d, _), raw in zip(docs, encoder.encode([t for _, t in docs]), strict=True))
+    rows = empty
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, "")
+        assert rows.columns == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() == 0

@@ -13,45 +13,55 @@ END_ID = 2
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of each whole text under the word-level BPE file's tokens."""
     return token_counts.counts(table(spark, sf_dir, "documents"), default_path())
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text without its repeated 400-byte strings, and its words in repeated passages of 50 words."""
     return repeats.removed(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics, the base rule and the robust verdict of each document."""
     found = quality.quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, repeats counted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.copies(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in each whole text."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and of its edited text, and their likeness."""
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
     return packing.packed(table(spark, sf_dir, "documents"), default_path(), END_ID)
 
 
 def op8_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a model that is fitted on labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from bit-packed token files."""
     return token_files.token_files(table(spark, sf_dir, "documents"), default_path(), END_ID)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and components of the links at 80 hundredths."""
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 

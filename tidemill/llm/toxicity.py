@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import mapped, text_or_empty
+from .common import discard, mapped, stored, text_or_empty
 
 # Words of abuse in common use.
 LEXICON = frozenset("idiot idiots moron morons stupid dumb fool loser losers pathetic worthless scum trash garbage filth filthy disgusting clown jerk creep coward liar freak pig rat vermin parasite imbecile cretin dimwit halfwit bastard bitch whore slut asshole shit shitty fuck fucking crap damn hate kill die ugly disgrace".split())
@@ -30,6 +31,8 @@ WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*[@$!*]?|[^\W_]*[@$*][^\W_]+")
 FEATURES = ("lexicon", "lexicon_count", "learned", "learned_count", "learned_most", "person", "person_near", "capitals", "shouted", "punctuation", "exclamation", "obfuscated", "mean_length", "length")
 #: Labelled rows that are fitted on at most: those of least crc32(doc_id as text), so a choice that needs no order.
 FIT_ROWS = 6_000
+#: Bytes of text that these rows have at most.
+FIT_BYTES = 64 << 20
 #: Words that the learned lexicon holds at most, and labelled rows that a word must stand in.
 LEARNED_WORDS, LEAST_ROWS = 2_000, 5
 NEAR = 5
@@ -62,7 +65,7 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
         near += any(abs(bad[j] - p) <= NEAR for j in (k - 1, k) if 0 <= j < len(bad))
     letters = sum(map(len, raw))
     hidden = sum(1 for r, w in zip(raw, words, strict=True) if not r.isalpha() and not r.isdigit() and w.isalpha() and w in LEXICON)
-    upper = sum(1 for c in text if c.isupper())
+    upper = sum(map(str.isupper, text))
     marks = sum(text.count(c) for c in ".,;:!?")
     positive = [s for _, s in scores]
     return [
@@ -191,13 +194,21 @@ class Model:
         return np.clip(np.interp(margin, self.x, self.y), 0.0, 1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fits on labelled rows that aren't held out: at most `rows`, those of least crc32 of doc_id (then doc_id)."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Model:
+    """Fits on labelled rows that aren't held out: at most `rows` doc_ids, those of least crc32 of doc_id (then doc_id),
+    as far as their whole texts have `most_bytes` together. Of a doc_id's repeated rows the least text counts, of its
+    labels the greatest."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(rows)
+    order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = known.orderBy(order, "doc_id").limit(rows).withColumn("crc", order)
     side = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in side.join(F.broadcast(chosen), "doc_id").collect())
-    return Model([t for _, t, _ in found], [y for _, _, y in found])
+    found = stored(side.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "crc", "toxic").agg(F.min("text").alias("text")), "fit-rows")
+    before = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("crc", "doc_id"))  # `rows` rows at most
+    taken = found.select("doc_id", before.alias("upto")).where(F.col("upto") <= most_bytes)
+    own = found.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic").collect()
+    discard(found)
+    own.sort()
+    return Model([r["text"] for r in own], [r["toxic"] for r in own])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
