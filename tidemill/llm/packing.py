@@ -25,7 +25,7 @@ from .word_ids import worker
 #: Tokens of a window, its length classes, and the most pieces that a combination has.
 WINDOW, CLASSES, DEPTH = 4096, 64, 3
 #: Pieces of one length that are ranked together, so that a very common length is spread over tasks.
-RANK_ROWS = 50_000
+RANK_ROWS = 1_000
 
 
 def combinations(classes: int, depth: int) -> np.ndarray:
