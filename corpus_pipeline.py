@@ -16,8 +16,8 @@ from tidemill.llm.word_ids import default_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ends each document's token ids.
 END_ID = 2
-#: The robust estimates, the links and the packing are not expressible in SQL. The rows of a whole run are
-#: compared with nothing; README names what the stages' operators are compared with.
+#: The robust estimates, the links and the packing are not expressible in SQL; tests/llm compares each stage's rows with
+#: a plain version on the same input.
 ORACLE_SQL = None
 
 
