@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemill.plans import registry, stream_queries, table_queries  # noqa: F401
+from tidemill.plans import job_queries, registry, stream_queries, table_queries  # noqa: F401
 
 PATH = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(PATH), reason="the tables are not here")

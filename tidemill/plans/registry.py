@@ -143,7 +143,19 @@ def async_risk_score(spark, d):
     return transactions(spark, d).select("txn_id", X.risk_score(F.col("channel"), F.col("amount"), trust, {"purchase": 0.35, "click": 0.15}).alias("risk"))
 
 
-@query()
+#: One step of the hash over 32-bit numbers held in 64 bits: the product of two fits.
+_MUL = "({} * 1540483477) & 4294967295"
+_WORD = _MUL.format("xor({0}, {0} >> 24)").format("(" + _MUL.format("k") + ")")
+_BYTE = "CAST(ascii(substr(key, CAST({} AS BIGINT), 1)) AS BIGINT)"
+MURMUR2 = f"""SELECT c_custkey, CAST((xor(g, g >> 15) & 2147483647) % 12 AS INTEGER) AS shard FROM (
+  SELECT c_custkey, {_MUL.format("xor(f, f >> 13)")} AS g FROM (
+    SELECT c_custkey, CASE rest WHEN 0 THEN h ELSE {_MUL.format("xor(h, tail)")} END AS f FROM (
+      SELECT *, length(key) % 4 AS rest, list_sum([{_BYTE.format("length(key) - length(key) % 4 + i + 1")} << (8 * i) FOR i IN range(length(key) % 4)]) AS tail,
+        list_reduce([xor(2538058380, length(key))] || [{" + ".join(f"({_BYTE.format(f'4 * i + {b + 1}')} << {8 * b})" for b in range(4))} FOR i IN range(length(key) // 4)], lambda h, k: xor({_MUL.format("h")}, {_WORD})) AS h
+      FROM (SELECT c_custkey, format('acct-{{:05d}}', c_custkey) AS key FROM customer))))"""
+
+
+@query(MURMUR2)
 def expr_murmur2_shard(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.shard_of(F.format_string("acct-%05d", "c_custkey"), 12).alias("shard"))
 
@@ -414,7 +426,17 @@ def _ordered(spark, d) -> DataFrame:
     return transactions(spark, d).select("account_id", F.col("txn_id").alias("id"), dbl(F.col("amount")).alias("amount"), "channel", (us("event_time") / 1e6).alias("t"))
 
 
-@query()
+#: Of the purchases after a probe those above the floor and all purchases between count.
+CEP = """SELECT account_id, first_id, last_id, hops, round(total, 2) AS total FROM (
+  SELECT account_id, first_id, last_id, small + sum(amount) OVER w AS total, count(*) OVER w AS hops FROM (
+    SELECT *, max(amount) OVER (PARTITION BY account_id, first_id ORDER BY event_time, last_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+      SELECT p.account_id, p.txn_id AS first_id, e.txn_id AS last_id, CAST(p.amount AS DOUBLE) AS small, CAST(e.amount AS DOUBLE) AS amount, e.event_time FROM txn p JOIN txn e ON p.account_id = e.account_id
+      WHERE p.amount <= 5 AND e.channel = 'purchase' AND (e.event_time, e.txn_id) > (p.event_time, p.txn_id) AND e.event_time < p.event_time + INTERVAL '3 days')
+  ) WHERE amount > greatest(5, coalesce(before, 5)) WINDOW w AS (PARTITION BY account_id, first_id ORDER BY event_time, last_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+) WHERE hops >= 2"""
+
+
+@query(CEP)
 def cep_card_testing(spark, d):
     def start():
         rule = P.EscalatingSpend(lambda r: r["amount"] <= 5.0, lambda r: r["channel"] == "purchase", floor=5.0, within=3 * 86_400.0)
@@ -423,7 +445,20 @@ def cep_card_testing(spark, d):
     return P.per_key(_ordered(spark, d), "account_id", ["t", "id"], start, "account_id long, first_id long, last_id long, hops long, total double")
 
 
-@query()
+#: Row by row of each account: the burst's rows and sum so far, and the timers that are still to come.
+VELOCITY = """SELECT {} AS {}, last_id, n, severity, round(total, 2) AS total FROM (
+  WITH RECURSIVE o AS (SELECT account_id, txn_id, CAST(amount AS DOUBLE) AS amount, epoch_us(event_time) / 1e6 AS t, row_number() OVER (PARTITION BY account_id ORDER BY event_time, txn_id) AS rn FROM txn),
+  s AS (
+    SELECT account_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS total, []::DOUBLE[] AS timers, FALSE AS alert, CAST(0 AS BIGINT) AS last_id FROM o WHERE rn = 1
+    UNION ALL
+    SELECT account_id, rn, n, total, timers, n >= 5 AND total >= 300, txn_id FROM (
+      SELECT account_id, rn, txn_id, had + 1 AS n, sum + amount AS total, CASE had WHEN 0 THEN list_append(kept, t + 5 * 86400.0::DOUBLE) ELSE kept END AS timers FROM (
+        SELECT *, CASE WHEN due OR alert THEN 0 ELSE n END AS had, CASE WHEN due OR alert THEN 0.0 ELSE total END AS sum FROM (
+          SELECT s.account_id, o.rn, o.txn_id, o.amount, o.t, s.n, s.total, s.alert, list_filter(s.timers, lambda x: x > o.t) AS kept, len(list_filter(s.timers, lambda x: x <= o.t)) > 0 AS due FROM s JOIN o ON s.account_id = o.account_id AND o.rn = s.rn + 1))))
+  SELECT *, CASE WHEN total >= 600 THEN 'CRITICAL' ELSE 'WARN' END AS severity FROM s WHERE alert)"""
+
+
+@query(VELOCITY.format("account_id", "account_id"))
 def state_velocity(spark, d):
     def start():
         rule = P.Velocity(5, 300.0, 5 * 86_400.0)
@@ -486,12 +521,9 @@ def enriched_transactions(spark, d):
 @query("SELECT txn_id, strftime(event_time, '%Y-%m-%d') AS dt, CAST(amount AS DOUBLE) AS amount FROM txn")
 def snk_fanout(spark, d):
     """One batch written to two sinks; what the date-partitioned one holds."""
-    from tempfile import mkdtemp
-
     from tidemill.sources import sinks
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp()}"
-    path = f"{root}/fanout-{abs(hash(d))}"
+    path = sinks.shared_folder(spark, "fanout")
     rows = transactions(spark, d).select("txn_id", F.date_format("event_time", "yyyy-MM-dd").alias("dt"), dbl(F.col("amount")).alias("amount"))
     sinks.fan_out(sinks.append(f"{path}/lake", ("dt",)), sinks.upsert(f"{path}/keyed", ["txn_id"], "txn_id"))(rows, 0)
     return spark.read.option("basePath", f"{path}/lake/batch=0").schema("txn_id long, amount double, dt string").parquet(f"{path}/lake/batch=0").select("txn_id", "dt", "amount")

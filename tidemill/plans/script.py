@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.expressions import register
 from tidemill.operators import joins, windows
 from tidemill.plans import match_sql
-from tidemill.sources import jdbc
+from tidemill.sources import jdbc, sinks
 
 LOG = logging.getLogger(__name__)
 VARIABLE = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}")
@@ -29,11 +29,14 @@ TOKEN = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"|;|[^-/
 SETTING = re.compile(r"SET\s+'([^']+)'\s*=\s*'([^']*)'", re.I | re.S)
 TABLE = re.compile(r"CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.`]+)\s*\((.*)\)\s*(?:PARTITIONED\s+BY\s*\(([^)]*)\)\s*)?WITH\s*\((.*)\)", re.I | re.S)
 VIEW = re.compile(r"CREATE\s+(?:OR\s+REPLACE\s+)?TEMPORARY\s+VIEW\s+([\w.`]+)\s+AS\s+(.*)", re.I | re.S)
+CATALOG = re.compile(r"CREATE\s+CATALOG\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s+WITH\s*\((.*)\)", re.I | re.S)
+DATABASE = re.compile(r"CREATE\s+DATABASE\s+(IF\s+NOT\s+EXISTS\s+)?([\w.`]+)(?:\s+WITH\s*\((.*)\))?", re.I | re.S)
 INSERT = re.compile(r"INSERT\s+INTO\s+([\w.`]+)\s+(.*)", re.I | re.S)
 TVF = re.compile(r"TABLE\s*\(\s*(TUMBLE|HOP|CUMULATE)\s*\(\s*TABLE\s+(\w+)\s*,\s*DESCRIPTOR\s*\(\s*(\w+)\s*\)\s*,\s*INTERVAL\s+'(\d+)'\s+(\w+)\s*(?:,\s*INTERVAL\s+'(\d+)'\s+(\w+)\s*)?\)\s*\)", re.I)
 ASOF = re.compile(r"FROM\s+(\w+)\s+AS\s+(\w+)\s+LEFT\s+JOIN\s+(\w+)\s+FOR\s+SYSTEM_TIME\s+AS\s+OF\s+\2\.(\w+)\s+AS\s+(\w+)\s+ON\s+\2\.(\w+)\s*=\s*\5\.(\w+)", re.I)
 PROPERTY = re.compile(r"'([^']+)'\s*=\s*'([^']*)'")
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+JDBC_CATALOG = "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog"
 #: Settings of scripts that have a counterpart here.
 SETTINGS = {"table.local-time-zone": "spark.sql.session.timeZone", "parallelism.default": "spark.sql.shuffle.partitions"}
 
@@ -93,12 +96,13 @@ class Script:
         """Runs all statements; returns each sink's rows as written. A script without INSERT is an error."""
         register(self.spark)
         for statement in statements(substitute(text, values)):
-            self._one(statement)
+            self.one(statement)
         if not self.inserts:
             raise ValueError("the script has no INSERT")
         return dict(self._write())
 
-    def _one(self, sql: str) -> None:
+    def one(self, sql: str) -> None:
+        """Runs a statement; an INSERT is kept back for the others."""
         if m := SETTING.fullmatch(sql):
             if m[1] in SETTINGS:
                 self.spark.conf.set(SETTINGS[m[1]], m[2])
@@ -108,6 +112,13 @@ class Script:
             self._table(m)
         elif m := VIEW.fullmatch(sql):
             self.query(m[2]).createOrReplaceTempView(m[1])
+        elif m := CATALOG.fullmatch(sql):
+            self._catalog(m[1], dict(PROPERTY.findall(m[2])))
+        elif m := DATABASE.fullmatch(sql):
+            place = dict(PROPERTY.findall(m[3] or "")).get("location")
+            self.spark.sql(f"CREATE DATABASE {'IF NOT EXISTS ' if m[1] else ''}{m[2]}" + (f" LOCATION '{place}'" if place else ""))
+        elif re.match(r"EXPLAIN\b", sql, re.I):
+            LOG.warning("%s", self.explain(re.sub(r"^EXPLAIN\s+", "", sql, flags=re.I)))
         elif m := INSERT.fullmatch(sql):
             self.inserts.append((m[1].strip("`"), m[2]))
         elif re.match(r"SELECT\b|WITH\b", sql, re.I):
@@ -116,6 +127,20 @@ class Script:
         else:
             self.spark.sql(sql)
 
+    def _catalog(self, name: str, properties: dict[str, str]) -> None:
+        """A database's tables as a catalog of the session; other types need a catalog class of theirs ('class')."""
+        kind = properties.pop("type", "")
+        made = properties.pop("class", JDBC_CATALOG if kind == "jdbc" else None)
+        if made is None:
+            raise ValueError(f"catalog {name}: 'type' = 'jdbc', or a 'class', can be opened here")
+        self.spark.conf.set(f"spark.sql.catalog.{name}", made)
+        for k, v in properties.items():
+            self.spark.conf.set(f"spark.sql.catalog.{name}.{k}", v)
+
+    def explain(self, sql: str) -> str:
+        """The plan of a SELECT after the rewrites, without running it."""
+        return self.query(sql)._jdf.queryExecution().executedPlan().toString()
+
     def _table(self, m: re.Match) -> None:
         name, body = m[1].strip("`"), m[2]
         keys = re.search(r",?\s*PRIMARY\s+KEY\s*\(([^)]*)\)\s*NOT\s+ENFORCED", body, re.I)
@@ -176,6 +201,10 @@ class Script:
             sql = re.sub(rf"\b{other}\.(\w+)", rf"{alias}._{other}_\1", sql)
         return self.spark.sql(sql)
 
+    def _append_only(self, name: str, df: DataFrame) -> DataFrame:
+        """Without a key to put a change at, a sink takes no changelog; refused before a row is read."""
+        return df if self.keys.get(name) else sinks.check_append_only(df)
+
     def _to_database(self, name: str, df: DataFrame) -> DataFrame:
         """Rows replace those of equal primary key (a key twice in one INSERT: the greatest row); without one they are
         added."""
@@ -197,7 +226,7 @@ class Script:
         try:
             for name, sql in self.inserts:
                 table = self.tables[name]
-                df = self.query(sql)
+                df = self._append_only(name, self.query(sql))
                 if table.properties["connector"] == "jdbc":
                     yield name, self._to_database(name, df)
                     continue

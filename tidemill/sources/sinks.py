@@ -130,6 +130,19 @@ def bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
+    """A new path under spark.checkpoint.dir; a local one only where that is unset and the master is local, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def printed(prefix: str, most: int = 20) -> Write:
+    """The first rows of each batch on the driver's console, each after its prefix; the sink's limit is its feature."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        for row in df.limit(most).collect():
+            print(f"{prefix}:{batch}> {', '.join(str(x) for x in row)}")
+
+    return write
