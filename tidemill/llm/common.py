@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -105,9 +108,26 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of bounded bytes: Spark's default of 64 MB holds in the JVM and again in each worker."""
+    """mapInArrow with batches of bounded bytes: Spark's default of 64 MB holds in the JVM and again in each worker.
+
+    Workers outlive their tasks, so each gives what its task has freed back to the system at the end."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow's pool and of the C library (where it can trim) to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
