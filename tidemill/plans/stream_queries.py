@@ -123,16 +123,21 @@ ASOF = "SELECT CAST(t.account_id AS VARCHAR) AS key, CAST(t.txn_id AS VARCHAR) A
 
 @query(ASOF)
 def stream_asof(spark, d):
-    """Facts come before their versions and wait until the watermark has passed them."""
+    """Facts come before their versions and wait until the watermark has passed them. It stays behind all versions until
+    they have come, however long the events last. Facts without key or time have no version and don't enter the stream."""
     ms = lambda c: (us(c) / 1000).cast("long")
-    k = F.col("account_id").cast("string").alias("k")
-    facts = transactions(spark, d).select(k, F.lit(1).alias("side"), ms("event_time").alias("t"), F.col("txn_id").cast("string").alias("payload"), "event_time")
-    versions = account_versions(spark, d).groupBy("account_id", ms("since").alias("t")).agg(F.max("band").alias("payload"), F.max("since").alias("event_time"))
+    k, t = F.col("account_id").cast("string").alias("k"), transactions(spark, d)
+    given = F.col("account_id").isNotNull() & F.col("event_time").isNotNull()
+    facts = t.where(given).select(k, F.lit(1).alias("side"), ms("event_time").alias("t"), F.col("txn_id").cast("string").alias("payload"), "event_time")
+    versions = account_versions(spark, d).where("account_id IS NOT NULL AND since IS NOT NULL").groupBy("account_id", ms("since").alias("t")).agg(F.max("band").alias("payload"), F.max("since").alias("event_time"))
     versions = versions.select(k, F.lit(0).alias("side"), "t", "payload", "event_time")
-    end = facts.agg((F.max("event_time") + F.expr("INTERVAL 60 DAYS")).alias("event_time")).where("event_time IS NOT NULL")
+    first, last = facts.agg(F.min("event_time"), F.max("event_time")).first()
+    days = max(40, 0 if first is None else (last - first).days + 2)
+    end = facts.agg((F.max("event_time") + F.expr(f"INTERVAL {days + 20} DAYS")).alias("event_time")).where("event_time IS NOT NULL")
     end = end.select(F.lit("~end").alias("k"), F.lit(0).alias("side"), ms("event_time").alias("t"), F.lit("end").alias("payload"), "event_time")
-    found = replay([facts, versions, end], lambda rows: stateful(rows.withWatermark("event_time", "40 days"), "k", AsOf()), "asof")
-    return found.select("key", "fact", "version")
+    found = replay([facts, versions, end], lambda rows: stateful(rows.withWatermark("event_time", f"{days} days"), "k", AsOf()), "asof")
+    rest = t.where(~given).select(k.alias("key"), F.col("txn_id").cast("string").alias("fact"), F.lit(None).cast("string").alias("version"))
+    return found.select("key", "fact", "version").unionByName(rest)
 
 
 LATE_WINDOWS = """WITH t AS (SELECT CAST(shard_id AS VARCHAR) AS key, txn_id % 10 = 0 AS late, epoch_ms(event_time) AS ms, epoch_ms(event_time) // 86400000 * 86400000 AS w, amount FROM txn),

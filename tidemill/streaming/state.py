@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -22,7 +23,8 @@ class _Kept(StatefulProcessor):
         self.state = handle.getValueState("state", "json string")
 
     def load(self) -> Any:
-        return json.loads(self.state.get()[0]) if self.state.exists() else None
+        found = self.state.get()
+        return json.loads(found[0]) if found else None
 
     def save(self, value: Any) -> None:
         self.state.update((json.dumps(value),))
@@ -61,38 +63,53 @@ class VelocityAlerts(_Kept):
 
 
 class AsOf(_Kept):
-    """Facts wait until the watermark has reached their time, then take the newest version that is not later.
+    """Facts wait until the watermark has passed their time, then take the newest version that is not later.
 
-    Rows: side (0 version, 1 fact), t (ms), payload. Versions that no fact can ask for any more are dropped.
+    Rows: side (0 version, 1 fact), t (ms), payload. Versions that no fact can ask for any more are dropped. A key has one
+    timer, for the first of its waiting facts: whatever is due by then goes out together.
     """
 
     SCHEMA = "key string, fact string, version string, t long"
 
-    def _release(self, key, state: dict, until: int) -> Iterator[pd.DataFrame]:
-        out, waiting = [], []
-        for t, fact in sorted(state["facts"], key=lambda f: f[0]):
-            if t > until:
-                waiting.append([t, fact])
-                continue
-            known = [v for v in state["versions"] if v[0] <= t]
-            out.append((key[0], fact, max(known, key=lambda v: v[0])[1] if known else None, t))
-        old = [v for v in state["versions"] if v[0] <= until]
-        state["versions"] = ([max(old, key=lambda v: v[0])] if old else []) + [v for v in state["versions"] if v[0] > until]
-        state["facts"] = waiting
+    def _release(self, key, state: dict, mark: int) -> Iterator[pd.DataFrame]:
+        """Facts before `mark`: rows of its own millisecond may still come."""
+        state["facts"].sort(key=lambda f: f[0])
+        due = bisect_left(state["facts"], mark, key=lambda f: f[0])
+        if due:
+            newest_first = sorted(reversed(state["versions"]), key=lambda v: v[0])  # of equal times the one that came first is last
+            times = [v[0] for v in newest_first]
+            places = [bisect_right(times, t) for t, _ in state["facts"][:due]]
+            out = [(key[0], fact, newest_first[i - 1][1] if i else None, t) for i, (t, fact) in zip(places, state["facts"][:due], strict=True)]
+        old = [v for v in state["versions"] if v[0] < mark]
+        state["versions"] = ([max(old, key=lambda v: v[0])] if old else []) + [v for v in state["versions"] if v[0] >= mark]
+        state["facts"] = state["facts"][due:]
+        self._wake(state)
         self.save(state)
-        yield pd.DataFrame(out, columns=["key", "fact", "version", "t"])
+        if due:
+            yield pd.DataFrame(out, columns=["key", "fact", "version", "t"])
+
+    def _wake(self, state: dict) -> None:
+        """Moves the timer to the first waiting fact."""
+        first = state["facts"][0][0] + 1 if state["facts"] else None
+        if first == state["timer"]:
+            return
+        if state["timer"] is not None:
+            self.handle.deleteTimer(state["timer"])
+        if first is not None:
+            self.handle.registerTimer(first)
+        state["timer"] = first
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.load() or {"versions": [], "facts": []}
+        state = self.load() or {"versions": [], "facts": [], "timer": None}
         for frame in rows:
-            for side, t, payload in zip(frame["side"], frame["t"], frame["payload"], strict=True):
+            for side, t, payload in zip(frame["side"].tolist(), frame["t"].tolist(), frame["payload"].tolist(), strict=True):
                 state["facts" if side else "versions"].append([int(t), payload])
-                if side:
-                    self.handle.registerTimer(int(t))
         yield from self._release(key, state, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.load() or {"versions": [], "facts": []}
+        state = self.load()
+        if state["timer"] == expiredTimerInfo.getExpiryTimeInMs():
+            state["timer"] = None  # the caller removes it
         yield from self._release(key, state, timerValues.getCurrentWatermarkInMs())
 
 
