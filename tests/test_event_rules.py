@@ -97,3 +97,18 @@ def test_asof_over_months_and_nulls(spark, tmp_path):
     rows = [(i, T0 + dt.timedelta(days=2 * i), i % 2, "signup" if i % 3 == 0 else "view", 1.0) for i in range(60)]
     rows += [(100, None, 1, "view", 1.0), (101, T0, None, "view", 1.0), (102, None, 1, "signup", 1.0), (103, T0, None, "signup", 1.0)]
     assert differences(spark, tmp_path, "stream_asof", rows) == ([], [], 0)
+
+
+def bursts():
+    """Amounts that sum to 300 and, added one by one, to a little less; nulls of each kind."""
+    less = [15.54, 101.32, 41.05, 87.26, 54.83]
+    assert sum(less) == 300.0 > less[0] + less[1] + less[2] + less[3] + less[4]
+    amounts = [*less, 1.25, 400.0, 50.0, 50.0, 50.0, 50.0, 100.0, 7.0]
+    rows = [(i, T0 + dt.timedelta(minutes=i), 7, "view", x) for i, x in enumerate(amounts)]
+    rows += [(100 + i, T0 + dt.timedelta(hours=15 * i), 8, "view", None if i == 2 else 70.0 + i) for i in range(30)]
+    rows += [(200 + i, None if i < 4 else T0 + dt.timedelta(minutes=i), 9, "view", 65.0 + i) for i in range(14)]
+    return rows + [(300 + i, T0 + dt.timedelta(minutes=i), None, "view", 90.0) for i in range(10)]
+
+
+def test_velocity_adds_as_its_sql(spark, tmp_path):
+    assert differences(spark, tmp_path, "state_velocity", bursts()) == ([], [], 0)

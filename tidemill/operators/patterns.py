@@ -6,6 +6,7 @@ the streaming form. Matching needs a key's rows in sequence, so a key is one tas
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -143,7 +144,10 @@ class EscalatingSpend:
 class Velocity:
     """`count` rows or more that sum to `amount` or more, within `window` of the burst's first row: an alert at once,
     CRITICAL at twice the amount. After an alert the burst starts anew. `stale` keeps the timer of a burst that ended in
-    an alert, which then ends the next burst early."""
+    an alert, which then ends the next burst early.
+
+    Amounts are added one by one as floats, as SQL adds them (Python's sum() corrects its rounding, which decides at the
+    threshold). A burst with a null amount can't alert, one that begins without a time has no end."""
 
     count: int = 5
     amount: float = 2500.0
@@ -151,30 +155,31 @@ class Velocity:
     stale: bool = True
     rows: list[Row] = field(default_factory=list)
     timers: list[float] = field(default_factory=list)
+    total: float = 0.0
 
     def advance(self, t: float) -> None:
-        """Event time has come to t: due timers clear the burst."""
-        if any(x <= t for x in self.timers):
-            self.rows = []
-            self.timers = [x for x in self.timers if x > t]
+        """Event time has come to t: due timers clear the burst. The timers are in order."""
+        if t == t and self.timers and self.timers[0] <= t:
+            self.rows, self.total = [], 0.0
+            del self.timers[: bisect_right(self.timers, t)]
 
     def add(self, row: Row) -> Row | None:
-        if not self.rows:
-            self.timers.append(row["t"] + self.window)
+        if not self.rows and row["t"] == row["t"]:
+            insort(self.timers, row["t"] + self.window)
         self.rows.append(row)
-        total = sum(r["amount"] for r in self.rows)
-        if len(self.rows) < self.count or total < self.amount:
+        self.total += row["amount"]
+        if not (len(self.rows) >= self.count and self.total >= self.amount):
             return None
-        alert = {"txn_ids": [r["id"] for r in self.rows], "total": total, "severity": "CRITICAL" if total >= 2 * self.amount else "WARN", "first": self.rows[0]["t"], "last": row["t"]}
-        if not self.stale:
-            self.timers = self.timers[:-1]
-        self.rows = []
+        alert = {"txn_ids": [r["id"] for r in self.rows], "total": self.total, "severity": "CRITICAL" if self.total >= 2 * self.amount else "WARN", "first": self.rows[0]["t"], "last": row["t"]}
+        if not self.stale and alert["first"] == alert["first"]:
+            self.timers.remove(alert["first"] + self.window)
+        self.rows, self.total = [], 0.0
         return alert
 
 
 def per_key(df: DataFrame, key: str, order: list[str], start: Callable[[], Callable[[Row], list[Row]]], schema: str) -> DataFrame:
     """Gives each key's rows, in order and one by one, to a rule that `start` makes for the key. Only what the rule keeps
-    is held, however many rows the key has: they come sorted from a shuffle that spills."""
+    is held, however many rows the key has: they come sorted from a shuffle that spills. Nulls are last in the order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rule, now = None, None
@@ -187,7 +192,7 @@ def per_key(df: DataFrame, key: str, order: list[str], start: Callable[[], Calla
             yield pd.DataFrame(out, columns=names)
 
     names = [part.strip().split()[0] for part in schema.split(",")]
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *[F.asc_nulls_last(c) for c in order]).mapInPandas(run, schema)
 
 
 def skip_past(df: DataFrame, key: str, order: list[str], starts: str, length: int) -> DataFrame:

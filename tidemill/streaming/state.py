@@ -43,7 +43,7 @@ class VelocityAlerts(_Kept):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rule = Velocity(*self.settings)
-        rule.rows, rule.timers = self.load() or ([], [])
+        rule.rows, rule.timers, rule.total = self.load() or ([], [], 0.0)
         before, found = set(rule.timers), []
         for row in pd.concat(list(rows)).sort_values(["t", "id"]).to_dict("records"):
             rule.advance(row["t"])
@@ -51,14 +51,14 @@ class VelocityAlerts(_Kept):
                 found.append((key[0], row["id"], len(alert["txn_ids"]), alert["severity"], round(alert["total"], 2)))
         for t in set(rule.timers) - before:
             self.handle.registerTimer(int(t * 1000))
-        self.save((rule.rows, rule.timers))
+        self.save((rule.rows, rule.timers, rule.total))
         yield pd.DataFrame(found, columns=["key", "last_id", "n", "severity", "total"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         rule = Velocity(*self.settings)
-        rule.rows, rule.timers = self.load() or ([], [])
+        rule.rows, rule.timers, rule.total = self.load() or ([], [], 0.0)
         rule.advance(expiredTimerInfo.getExpiryTimeInMs() / 1000)
-        self.save((rule.rows, rule.timers))
+        self.save((rule.rows, rule.timers, rule.total))
         yield pd.DataFrame([], columns=["key", "last_id", "n", "severity", "total"])
 
 
