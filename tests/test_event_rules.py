@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from tidemill.plans import registry, stream_queries  # noqa: F401
-from tidemill.streaming.state import AsOf
+from tidemill.streaming.state import AsOf, VelocityAlerts
 
 PATH = "/root/testdata/sf0.001"
 T0 = dt.datetime(2026, 1, 1, 10)
@@ -112,3 +112,17 @@ def bursts():
 
 def test_velocity_adds_as_its_sql(spark, tmp_path):
     assert differences(spark, tmp_path, "state_velocity", bursts()) == ([], [], 0)
+
+
+def test_velocity_stream_adds_as_its_sql(spark, tmp_path):
+    assert differences(spark, tmp_path, "stream_velocity", bursts()) == ([], [], 0)
+
+
+def test_velocity_stream_goes_on_with_a_burst():
+    """The sum so far is kept between batches; one timer a key, which forgets it."""
+    handle, rule = Handle(), VelocityAlerts(5, 300.0, 1000.0)
+    rule.init(handle)
+    amounts = [15.54, 101.32, 41.05, 87.26, 54.83, 0.5]
+    found = [tuple(r) for i, x in enumerate(amounts) for f in rule.handleInputRows(("k",), iter([pd.DataFrame({"id": [f"{i}"], "amount": [x], "t": [20.0 * i + 0.0001]})]), Times(0)) for r in f.itertuples(index=False)]
+    assert found == [("k", "5", 6, "WARN", 300.5)] and handle.timers == {1_000_001}
+    assert not [f for x in sorted(handle.timers) for f in rule.handleExpiredTimer(("k",), Times(10**6), Times(x))] and handle.value is None

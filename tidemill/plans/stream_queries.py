@@ -112,7 +112,7 @@ def stream_changelog(spark, d):
 @query(VELOCITY.format("CAST(account_id AS VARCHAR)", "key"))
 def stream_velocity(spark, d):
     """The burst rule with state and timers in event time."""
-    rows = _stream(spark, d).select(F.col("account_id").cast("string").alias("k"), F.format_string("%019d", "txn_id").alias("id"), dbl(F.col("amount")).alias("amount"), (us("event_time") / 1e6).alias("t"), "event_time")
+    rows = _stream(spark, d).where("account_id IS NOT NULL").select(F.col("account_id").cast("string").alias("k"), F.format_string("%019d", "txn_id").alias("id"), dbl(F.col("amount")).alias("amount"), (us("event_time") / 1e6).alias("t"), "event_time")
     found = run_all(stateful(rows, "k", VelocityAlerts(5, 300.0, 5 * 86_400.0)), "bursts")
     return found.select("key", F.col("last_id").cast("long").alias("last_id"), "n", "severity", "total")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import Any
@@ -34,7 +35,9 @@ class _Kept(StatefulProcessor):
 
 
 class VelocityAlerts(_Kept):
-    """The burst rule over a stream: rows id, amount, t (seconds) of a key, in event-time order within a batch."""
+    """The burst rule over a stream: rows id, amount, t (seconds) of a key, in event-time order within a batch.
+
+    Rows move the rule's time themselves; a key's one timer, at its last burst's end, only forgets the key."""
 
     SCHEMA = "key string, last_id string, n long, severity string, total double"
 
@@ -44,22 +47,24 @@ class VelocityAlerts(_Kept):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rule = Velocity(*self.settings)
         rule.rows, rule.timers, rule.total = self.load() or ([], [], 0.0)
-        before, found = set(rule.timers), []
-        for row in pd.concat(list(rows)).sort_values(["t", "id"]).to_dict("records"):
-            rule.advance(row["t"])
-            if alert := rule.add({"id": row["id"], "amount": row["amount"], "t": row["t"]}):
-                found.append((key[0], row["id"], len(alert["txn_ids"]), alert["severity"], round(alert["total"], 2)))
-        for t in set(rule.timers) - before:
-            self.handle.registerTimer(int(t * 1000))
+        before, found = rule.timers[-1:], []
+        frame = pd.concat(list(rows)).sort_values(["t", "id"])
+        for i, amount, t in zip(frame["id"].tolist(), frame["amount"].tolist(), frame["t"].tolist(), strict=True):
+            rule.advance(t)
+            if alert := rule.add({"id": i, "amount": amount, "t": t}):
+                found.append((key[0], i, len(alert["txn_ids"]), alert["severity"], round(alert["total"], 2)))
+        if rule.timers[-1:] != before:
+            for t in before:
+                self.handle.deleteTimer(math.ceil(t * 1000))
+            for t in rule.timers[-1:]:
+                self.handle.registerTimer(math.ceil(t * 1000))
         self.save((rule.rows, rule.timers, rule.total))
-        yield pd.DataFrame(found, columns=["key", "last_id", "n", "severity", "total"])
+        if found:
+            yield pd.DataFrame(found, columns=["key", "last_id", "n", "severity", "total"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rule = Velocity(*self.settings)
-        rule.rows, rule.timers, rule.total = self.load() or ([], [], 0.0)
-        rule.advance(expiredTimerInfo.getExpiryTimeInMs() / 1000)
-        self.save((rule.rows, rule.timers, rule.total))
-        yield pd.DataFrame([], columns=["key", "last_id", "n", "severity", "total"])
+        self.state.clear()
+        yield from ()
 
 
 class AsOf(_Kept):
