@@ -81,10 +81,10 @@ class AsOf(_Kept):
         state["facts"].sort(key=lambda f: f[0])
         due = bisect_left(state["facts"], mark, key=lambda f: f[0])
         if due:
-            newest_first = sorted(reversed(state["versions"]), key=lambda v: v[0])  # of equal times the one that came first is last
-            times = [v[0] for v in newest_first]
+            known = sorted(reversed(state["versions"]), key=lambda v: v[0])  # of equal times the one that came first is last
+            times = [v[0] for v in known]
             places = [bisect_right(times, t) for t, _ in state["facts"][:due]]
-            out = [(key[0], fact, newest_first[i - 1][1] if i else None, t) for i, (t, fact) in zip(places, state["facts"][:due], strict=True)]
+            out = [(key[0], fact, known[i - 1][1] if i else None, t) for i, (t, fact) in zip(places, state["facts"][:due], strict=True)]
         old = [v for v in state["versions"] if v[0] < mark]
         state["versions"] = ([max(old, key=lambda v: v[0])] if old else []) + [v for v in state["versions"] if v[0] >= mark]
         state["facts"] = state["facts"][due:]
