@@ -23,6 +23,10 @@ BROADCAST_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
 #: Bytes of text that a Python step takes at once.
 CHUNK_BYTES = 2 << 20
+#: Words of 64 bits in a sieve at most: its rows then have BROADCAST_BYTES or less.
+SIEVE_WORDS = 1 << 20
+#: Has Spark remove an execution's shuffle files at its end, instead of when the driver happens to collect garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +69,16 @@ def remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str, codec: str = "zstd", done: Sequence[DataFrame] = ()) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors.
 
+    The shuffle files of the write go with its end, as nothing reads them again: the disk holds those of one step.
     `done`: stored frames that nothing reads once df is written; their files go."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    was = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if was is None else spark.conf.set(FILE_CLEANUP, was)
     for frame in done:
         discard(frame)
     found = spark.read.schema(df.schema).parquet(path)
@@ -103,6 +113,18 @@ def checked_broadcast(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= (BROADCAST_BYTES if most is None else most) else df
 
 
+def sifted(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of df that a join with `keys` (stored, distinct) on `column` can need: all that have a match and, as a
+    bit stands for many values, some others. `column` is a long that is a hash already. Put before a join that shuffles
+    df, it keeps most rows without a match out of the shuffle, with a broadcast of bounded size."""
+    n = keys.count()
+    words = min(SIEVE_WORDS, 1 << max(0, n // 8).bit_length())
+    word = lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(words - 1).cast("long"))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
+    sieve = keys.groupBy(word(column).alias("sieve_word")).agg(F.bit_or(bit(f"`{column}`")).alias("sieve_bits"))
+    return df.join(F.broadcast(sieve), (word(F.col(column)) == F.col("sieve_word")) & (F.col("sieve_bits").bitwiseAND(bit(f"`{column}`")) != 0), "left_semi")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -211,14 +211,13 @@ def _links(docs: DataFrame, size: int, percent: int, own: bool) -> tuple[DataFra
     often = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in common.select("key").toLocalIterator()], dtype=np.int64).view(np.uint64)))
     rows = in_arrow(docs.select("text"), lambda b: _prefixes(b, size, percent, often.value), "token long, key long, n int, i int")
     rows = rows.repartition("token").dropDuplicates(["token", "key"])
-    rows = stored(rows.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1").drop("held"), "shared-prefixes")
-
-    # Groups: members of a shingle's list against its leaders.
-    leaders = []
-    for order in (F.struct("i", "key"), F.struct(F.xxhash64("key"), "key")):
-        lead = F.min_by(F.struct("key", "n", "i"), order).over(Window.partitionBy("token"))
-        led = rows.withColumn("lead", lead).where("lead.key != key")
-        leaders.append(led.select(F.col("lead.key").alias("a"), F.col("lead.n").alias("m"), F.col("lead.i").alias("j"), F.col("key").alias("b"), "n", "i"))
+    of_token = Window.partitionBy("token")
+    rows = rows.withColumn("held", F.count("*").over(of_token)).where("held > 1").drop("held")
+    # Groups: members of a shingle's list against its leaders, which are found while the list is together.
+    orders = {"earliest": F.struct("i", "key"), "dealt": F.struct(F.xxhash64("key"), "key")}
+    rows = rows.select("*", *[F.min_by(F.struct("key", "n", "i"), order).over(of_token).alias(name) for name, order in orders.items()])
+    rows = stored(rows, "shared-prefixes")
+    leaders = [rows.where(f"{x}.key != key").select(F.col(f"{x}.key").alias("a"), F.col(f"{x}.n").alias("m"), F.col(f"{x}.i").alias("j"), F.col("key").alias("b"), "n", "i") for x in orders]
     pairs = leaders[0].union(leaders[1]).where(_needed(F.col("n"), F.col("m"), percent) <= F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")))
     pairs = pairs.groupBy("a", "b", "n").count().where("100 * count >= n")  # a twentieth of the prefix; what is missed here the matrix finds
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")

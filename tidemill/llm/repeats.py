@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked_broadcast, chunks, in_arrow, mapped, stored, text_or_empty, to_arrow
+from .common import checked_broadcast, chunks, in_arrow, mapped, sifted, stored, text_or_empty, to_arrow
 
 #: Bytes of a string that must not repeat, places that one trigger rules at most, and bytes of a rolling hash.
 WINDOW, SPAN, WORD = 400, 128, 8
@@ -226,7 +226,7 @@ def spans(docs: DataFrame, window: int = WINDOW, span: int = SPAN, unit: int = 1
     long_enough = docs.select("t1", "t2", "text").where(F.octet_length("text") >= (window if unit == 1 else 2 * window - 1))
     parsed = stored(mapped(long_enough, _families(window, span, unit), "t1 long, t2 int, lo int, n int, d int, core long, cover long", PARSE_BYTES), "families")
     again = stored(parsed.groupBy("core").count().where("count > 1").select("core"), "cores")
-    families = stored(parsed.join(again, "core"), "repeated-cores", done=[parsed, again])
+    families = stored(sifted(parsed, again, "core").join(again, "core"), "repeated-cores", done=[parsed, again])
     entries = stored(families.groupBy("core", "cover").agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "lo", "n", "d")).alias("own")), "dictionary")
 
     mixed = entries.groupBy("core").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("k > 1 AND least = 1")
