@@ -23,7 +23,7 @@ BROADCAST_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
 #: Bytes of text that a Python step takes at once.
 CHUNK_BYTES = 2 << 20
-#: Words of 64 bits in a sieve at most: its rows then have BROADCAST_BYTES or less.
+#: Words of 64 bits in a sieve at most: its rows then have BROADCAST_BYTES or less, by the estimate of checked_broadcast.
 SIEVE_WORDS = 1 << 20
 #: Has Spark remove an execution's shuffle files at its end, instead of when the driver happens to collect garbage.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
